@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlake.functions.exprs import any_contains, any_rlike, map_literal
+from siftlake.functions.exprs import any_contains, map_literal
 from siftlake.functions.paths import basename, extension, norm_path, slashed
-from siftlake.functions.regexes import java_pattern
+from siftlake.functions.regexes import java_pattern, literal_alternation
 
 # --- Fixed values: path segments, name patterns, data extensions, languages, frameworks. ---
 FIXTURE_SEGMENTS = [
@@ -52,38 +52,38 @@ LANGUAGE_BY_EXT = {
     "env": "env", "ini": "ini", "cfg": "ini", "conf": "ini", "properties": "ini", "txt": "text",
     "log": "text", "md": "markdown", "pem": "pem", "key": "pem", "pfx": "pem", "p12": "pem",
 }
-FRAMEWORK_SIGNALS = [
-    ("jest", r"\bjest\.(?:mock|fn|spyOn|setTimeout|useFakeTimers)\b"),
-    ("jest", r"from\s+['\"](?:@jest/globals|jest-each)['\"]"),
-    ("vitest", r"from\s+['\"]vitest['\"]"),
-    ("vitest", r"\bvi\.(?:mock|fn|spyOn)\b"),
-    ("playwright", r"from\s+['\"]@playwright/test['\"]"),
-    ("playwright", r"\btest\.(?:describe|beforeAll|afterAll|beforeEach|afterEach)\b"),
-    ("mocha", r"\b(?:before|after|beforeEach|afterEach)\s*\("),
-    ("mocha", r"\bassert\.[a-z]+\s*\("),
-    ("pytest", r"\bimport\s+pytest\b"),
-    ("pytest", r"\bdef\s+test_[a-z_]+\s*\("),
-    ("pytest", r"@pytest\.fixture\b"),
-    ("unittest", r"\bimport\s+unittest\b"),
-    ("unittest", r"\bfrom\s+unittest\b"),
-    ("unittest", r"\bclass\s+\w+\s*\(\s*unittest\.TestCase\s*\)"),
-    ("phpunit", r"\bextends\s+(?:TestCase|PHPUnit\\Framework\\TestCase)\b"),
-    ("phpunit", r"public\s+function\s+test[A-Z]"),
-    ("phpunit", r"\buse\s+PHPUnit\\"),
-    ("phpunit", r"\bnamespace\s+\S+\\Tests?\\"),
-    ("pest", r"\buses\s*\(\s*\w+::class\s*\)"),
-    ("pest", r"\bit\s*\(\s*['\"]"),
-    ("nunit", r"\[(?:Test|TestFixture|SetUp|TearDown|OneTimeSetUp)\]"),
-    ("xunit", r"\[(?:Fact|Theory|InlineData|ClassData)\]"),
-    ("mstest", r"\[(?:TestMethod|TestClass|TestInitialize|TestCleanup)\]"),
-    ("rspec", r"\b(?:describe|context|it)\s+['\"].*['\"],?\s*do\b"),
-    ("rspec", r"\bexpect\s*\(.*\)\.to\s"),
-    ("minitest", r"require\s+['\"]minitest/autorun['\"]"),
-    ("minitest", r"\bclass\s+\w+\s*<\s*Minitest::Test\b"),
-    ("node-test", r"require\s*\(\s*['\"]node:test['\"]\s*\)"),
-    ("node-test", r"from\s+['\"]node:test['\"]"),
-    ("bun-test", r"from\s+['\"]bun:test['\"]"),
-    ("bun-test", r"require\s*\(\s*['\"]bun:test['\"]\s*\)"),
+FRAMEWORK_SIGNALS = [  # framework, pattern, literals one of which every match contains
+    ("jest", r"\bjest\.(?:mock|fn|spyOn|setTimeout|useFakeTimers)\b", ["jest."]),
+    ("jest", r"from\s+['\"](?:@jest/globals|jest-each)['\"]", ["jest"]),
+    ("vitest", r"from\s+['\"]vitest['\"]", ["vitest"]),
+    ("vitest", r"\bvi\.(?:mock|fn|spyOn)\b", ["vi."]),
+    ("playwright", r"from\s+['\"]@playwright/test['\"]", ["@playwright/test"]),
+    ("playwright", r"\btest\.(?:describe|beforeAll|afterAll|beforeEach|afterEach)\b", ["test."]),
+    ("mocha", r"\b(?:before|after|beforeEach|afterEach)\s*\(", ["before", "after"]),
+    ("mocha", r"\bassert\.[a-z]+\s*\(", ["assert."]),
+    ("pytest", r"\bimport\s+pytest\b", ["pytest"]),
+    ("pytest", r"\bdef\s+test_[a-z_]+\s*\(", ["def"]),
+    ("pytest", r"@pytest\.fixture\b", ["@pytest"]),
+    ("unittest", r"\bimport\s+unittest\b", ["unittest"]),
+    ("unittest", r"\bfrom\s+unittest\b", ["unittest"]),
+    ("unittest", r"\bclass\s+\w+\s*\(\s*unittest\.TestCase\s*\)", ["unittest"]),
+    ("phpunit", r"\bextends\s+(?:TestCase|PHPUnit\\Framework\\TestCase)\b", ["extends"]),
+    ("phpunit", r"public\s+function\s+test[A-Z]", ["function"]),
+    ("phpunit", r"\buse\s+PHPUnit\\", ["PHPUnit"]),
+    ("phpunit", r"\bnamespace\s+\S+\\Tests?\\", ["namespace"]),
+    ("pest", r"\buses\s*\(\s*\w+::class\s*\)", ["::class"]),
+    ("pest", r"\bit\s*\(\s*['\"]", ["it"]),
+    ("nunit", r"\[(?:Test|TestFixture|SetUp|TearDown|OneTimeSetUp)\]", ["["]),
+    ("xunit", r"\[(?:Fact|Theory|InlineData|ClassData)\]", ["["]),
+    ("mstest", r"\[(?:TestMethod|TestClass|TestInitialize|TestCleanup)\]", ["["]),
+    ("rspec", r"\b(?:describe|context|it)\s+['\"].*['\"],?\s*do\b", ["do"]),
+    ("rspec", r"\bexpect\s*\(.*\)\.to\s", ["expect"]),
+    ("minitest", r"require\s+['\"]minitest/autorun['\"]", ["minitest"]),
+    ("minitest", r"\bclass\s+\w+\s*<\s*Minitest::Test\b", ["Minitest"]),
+    ("node-test", r"require\s*\(\s*['\"]node:test['\"]\s*\)", ["node:test"]),
+    ("node-test", r"from\s+['\"]node:test['\"]", ["node:test"]),
+    ("bun-test", r"from\s+['\"]bun:test['\"]", ["bun:test"]),
+    ("bun-test", r"require\s*\(\s*['\"]bun:test['\"]\s*\)", ["bun:test"]),
 ]
 GENERIC_SIGNAL = r"\b(?:describe|it|expect|assert|should)\s*[.(]"
 HEAD_LINES = 50
@@ -109,6 +109,10 @@ INFRA_VENDOR = (
 # --- end of fixed values ---
 
 
+def _has_segment(path: Column, segments) -> Column:
+    return path.rlike(literal_alternation(segments))
+
+
 def path_columns(files: DataFrame) -> DataFrame:
     """Add norm_path, base_name, ext and language."""
     return files.withColumns(
@@ -124,17 +128,17 @@ def path_columns(files: DataFrame) -> DataFrame:
 def path_type_columns(files: DataFrame) -> DataFrame:
     """Add `definitive`, `tentative`, `tentative_is_path` from path and name alone (needs path_columns)."""
     p, b = F.col("norm_path"), F.col("base_name")
-    in_test = any_contains(p, TEST_SEGMENTS)
-    vendor, generated = any_contains(p, VENDOR_SEGMENTS), any_contains(p, GENERATED_SEGMENTS)
+    in_test = _has_segment(p, TEST_SEGMENTS)
+    vendor, generated = _has_segment(p, VENDOR_SEGMENTS), _has_segment(p, GENERATED_SEGMENTS)
     kind = (
         F.when(vendor, "vendor")
         .when(generated | b.rlike(GENERATED_NAME), "generated")
-        .when(any_contains(p, FIXTURE_SEGMENTS), "fixture?path")
+        .when(_has_segment(p, FIXTURE_SEGMENTS), "fixture?path")
         .when(b.rlike(STRONG_TEST_NAME) & in_test, "test")
         .when(b.rlike(TEST_NAME), "test?name")
         .when(in_test, "test?path")
         .when(b.rlike(CONFIG_NAME), "config")
-        .when(any_contains(p, DOCS_SEGMENTS), "docs?path")
+        .when(_has_segment(p, DOCS_SEGMENTS), "docs?path")
     )
     out = files.withColumn("_kind", kind)
     unsure = F.col("_kind").contains("?")
@@ -158,7 +162,12 @@ def signal_columns(files: DataFrame) -> DataFrame:
     """Add named_signal (first named framework in the head) and any_signal."""
     out = files.withColumn("_head", head_of(F.col("content")))
     head = F.col("_head")
-    named = F.coalesce(*[F.when(head.rlike(java_pattern(re)), F.lit(name)) for name, re in FRAMEWORK_SIGNALS])
+    named = F.coalesce(
+        *[
+            F.when(any_contains(head, literals) & head.rlike(java_pattern(re)), F.lit(name))
+            for name, re, literals in FRAMEWORK_SIGNALS
+        ]
+    )
     out = out.withColumn("named_signal", named)
     generic = head.rlike(java_pattern(GENERIC_SIGNAL))
     return out.withColumn(
@@ -195,7 +204,10 @@ def final_type_columns(files: DataFrame) -> DataFrame:
             ),
         )
     )
-    out = files.withColumns({"file_type": file_type, "framework": framework, "signals": signals})
+    # A generator of one row: filters on its columns stay above it, so that a later
+    # `scan_context = 'source'` does not evaluate the whole classification a second time.
+    decided = F.struct(file_type.alias("file_type"), framework.alias("framework"), signals.alias("signals"))
+    out = files.select("*", F.inline(F.array(decided)))
     return out.withColumn("scan_context", scan_context(F.col("file_type")))
 
 

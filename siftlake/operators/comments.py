@@ -61,9 +61,12 @@ def _line_prefix(trimmed: Column, s: Syntax) -> Column:
 
 
 def inline_marker_regex(markers) -> str:
-    """A marker outside quotes: plain characters and complete quoted runs may come before it."""
+    """A marker outside quotes: plain characters and complete quoted runs may come before it.
+
+    Inside quotes, a quote right after a backslash does not close the run.
+    """
     alt = "|".join("".join("\\" + c if not c.isalnum() else c for c in m) for m in markers)
-    quoted = "|".join(rf"{q}(?:[^{q}\\]|\\(?s:.))*+{q}" for q in "\"'`")
+    quoted = "|".join(rf"{q}(?:[^{q}\\]|\\+[^\\])*+{q}" for q in "\"'`")
     return rf"^(?:(?!{alt})[^\"'`]|{quoted})*+(?:{alt})"
 
 

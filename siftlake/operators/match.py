@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.functions import identity
 from siftlake.functions.exprs import any_contains, count_newlines, let, running_before
-from siftlake.functions.paths import basename
+from siftlake.functions.paths import basename, extension
 from siftlake.functions.regexes import java_pattern
 from siftlake.operators.classify import infra_eligible, rule_context
 from siftlake.operators.comments import kind_name, line_kinds
@@ -285,6 +285,63 @@ def build_findings(found: DataFrame, rules: list[Rule]) -> DataFrame:
     ).drop("raw", "value", "kind", "taint")
 
 
+def match_table(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Every match of every rule whose `file_types` holds the file's extension (or is empty).
+
+    Columns repo_id, path, rule_id, rule_rank, off, line, raw, text, value; no filters applied.
+    """
+    ext = F.col("ext")
+    with_ext = files.withColumn("ext", extension(F.col("path")))
+    gate = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    (ext.isin(list(r.file_types)) if r.file_types else F.lit(True)) & F.col("content").rlike(r.java),
+                    F.lit(rank),
+                )
+                for rank, r, _, _ in passes(rules)
+            ]
+        )
+    )
+    hits = with_ext.withColumn("_hits", gate).select(
+        "repo_id", "path", "content", F.explode_outer("_hits").alias("rule_rank")
+    ).where(F.col("rule_rank").isNotNull())
+    meta = _meta(files.sparkSession, rules).select("rule_rank", "rule_id", "pattern")
+
+    def with_raw(lines: Column) -> Column:
+        return F.transform(
+            matches_of(F.col("content"), F.col("pattern")),
+            lambda m: F.struct(
+                m["off"].alias("off"), m["line"].alias("line"),
+                F.get(lines, (m["line"] - 1).cast("int")).alias("raw"), m["text"].alias("text"),
+                m["value"].alias("value"),
+            ),
+        )
+
+    return hits.join(F.broadcast(meta), "rule_rank").select(
+        "repo_id", "path", "rule_id", "rule_rank", F.inline_outer(let(F.split("content", "\n"), with_raw))
+    ).where(F.col("off").isNotNull())
+
+
+def antipattern_present(content: Column, off: Column, anti: str, behind: int = 120, ahead: int = 300) -> Column:
+    """Whether the anti-pattern occurs in the window around one match of a row that carries the text."""
+    window = F.substr(
+        content, (F.greatest(off - behind, F.lit(0)) + 1).cast("int"),
+        (F.least(off, F.lit(behind)) + ahead).cast("int"),
+    )
+    return window.rlike(java_pattern(anti, "i"))
+
+
+def comment_suppress(found: DataFrame, lines: DataFrame, exempt=()) -> DataFrame:
+    """Join form of the comment filter: drop findings on COMMENT lines unless their rule is exempt."""
+    comments = lines.where("line_type = 'COMMENT'").select("repo_id", "path", "line", F.lit(True).alias("_c"))
+    return (
+        found.join(comments, ["repo_id", "path", "line"], "left")
+        .where(F.col("_c").isNull() | F.col("rule_id").isin(list(exempt)))
+        .drop("_c")
+    )
+
+
 def coverage(classified: DataFrame, domain: str = "all") -> DataFrame:
     """Files whose rules ran: the source context, with the rule domain."""
     return (
