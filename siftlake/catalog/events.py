@@ -71,7 +71,7 @@ register(
 )
 register(
     "audit_top_rules", lambda s, d: au.top_rules(session_findings(s, d), 4).withColumn("rank", F.col("rank").cast("bigint")),
-    sql(EXC, "SELECT * FROM (SELECT session_id, rule_id, count(*) AS count, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, rule_id) AS rank FROM sf GROUP BY ALL) WHERE rank <= 4", *SF_SQL),
+    sql(EXC, "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY count DESC, rule_id) AS rank FROM (SELECT session_id, rule_id, count(*) AS count FROM sf GROUP BY ALL)) WHERE rank <= 4", *SF_SQL),
 )
 PAYLOAD = ["rule_id", "category", "severity", "path", "line", "code_hash", "finding_id", "excepted", "blocks"]
 

@@ -268,3 +268,60 @@ def rules_by_ext(spark: SparkSession, rules: list[Rule], exts: list[str]) -> Dat
     return spark.createDataFrame(
         rows, "ext string, rule_id string, source string, rule_pass string, rule_rank int"
     )
+
+
+def registry(rules: DataFrame, languages: DataFrame) -> DataFrame:
+    """One row per rule id out of rules(rule_id, source, source_ord, rule_ord, name, severity, category,
+    file_types, match_mode, ...) with its languages; the first record of an id wins.
+
+    languages(source, exposure, languages): the language list of a source, or null for the rule's own
+    file types.
+    """
+    first = F.struct("source_ord", "rule_ord")
+    cols = ["source", "name", "severity", "category", "file_types", "match_mode", "why", "fix"]
+    one = rules.groupBy("rule_id").agg(F.min_by(F.struct(*cols), first).alias("r")).select("rule_id", "r.*")
+    exposure = F.coalesce(F.col("severity") == "EXPOSURE", F.lit(False))
+    j = one.withColumn("exposure", exposure).join(F.broadcast(languages), ["source", "exposure"], "left")
+    own = F.when(F.size("file_types") > 0, F.col("file_types"))
+    return j.withColumn("languages", F.coalesce("languages", own, F.array(F.lit("all")))).drop("exposure", "file_types")
+
+
+def natural_order(rule_id) -> list:
+    """Sort keys: severity (LOW 4, unknown last), id without its number, number."""
+    rank = F.coalesce(
+        F.try_element_at(
+            F.create_map(*[x for k, v in {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "EXPOSURE": 3, "LOW": 4}.items() for x in (F.lit(k), F.lit(v))]),
+            F.col("severity"),
+        ),
+        F.lit(9),
+    )
+    c = F.col(rule_id)
+    return [rank, F.regexp_replace(c, r"[0-9]+\z", ""), F.regexp_extract(c, r"([0-9]+)\z", 1).try_cast("int"), c]
+
+
+def query_registry(reg: DataFrame, *, rule_id=None, lang=None, severity=None, search=None) -> DataFrame:
+    if rule_id:
+        return reg.where(F.lower("rule_id") == rule_id.lower())
+    out = reg
+    if lang:
+        wanted = [x.strip().lower() for x in lang.split(",")]
+        out = out.where(F.exists("languages", lambda l: F.lower(l).isin(wanted + ["all"])))
+    if severity:
+        out = out.where(F.col("severity") == severity.upper())
+    if search:
+        text = F.lower(F.concat_ws("\u0001", "rule_id", "name", "category", "why", "fix"))
+        out = out.where(text.contains(search.lower()))
+    return out
+
+
+def registry_stats(reg: DataFrame) -> DataFrame:
+    """(kind, value, count) by severity, language and category."""
+    flat = reg.select(F.col("severity"), F.col("category"))
+    sc = flat.groupingSets([["severity"], ["category"]], "severity", "category").agg(
+        F.count(F.lit(1)).alias("count"), F.grouping("severity").alias("_g")
+    ).select(
+        F.when(F.col("_g") == 1, "category").otherwise("severity").alias("kind"),
+        F.coalesce(F.when(F.col("_g") == 1, F.col("category")), F.col("severity")).alias("value"), "count",
+    )
+    lang = reg.select(F.explode("languages").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    return sc.unionByName(lang.select(F.lit("language").alias("kind"), "value", "count"))
