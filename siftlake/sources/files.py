@@ -57,9 +57,8 @@ def read_tree(spark: SparkSession, root: str, repo_id: str, glob: str | None = N
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.substring_index("path", base, -1), r"^/+", "")
-    return reader.load(root).select(
-        F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.decode("content", "UTF-8").alias("content")
-    )
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # broken bytes are replaced, not refused
+    return reader.load(root).select(F.lit(repo_id).alias("repo_id"), rel.alias("path"), text.alias("content"))
 
 
 def keep_supported(files: DataFrame, extra: bool = True) -> DataFrame:
