@@ -212,7 +212,7 @@ CLASSIFY = (SPREAD_SQL, BASIC_SQL, KIND_SQL, TYPES_SQL, SIGNALS_SQL, FINAL_SQL)
 
 
 def spread(s, d):
-    return spread_files(s, d).unionByName(both(s, d))
+    return src.balanced(spread_files(s, d).unionByName(both(s, d)))
 
 
 register(

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftlake.sources.files import balanced
+
 DIRS = ["src", "lib", "tests", "vendor", "dist", "fixtures", "docs", "config"]
 DIR_TYPES = ["source", "source", "test", "vendor", "generated", "fixture", "docs", "config"]
 DOC_EXTS = ["js", "py", "php", "json", "log", "env"]
@@ -139,8 +141,9 @@ def line_findings(spark: SparkSession, d: str) -> DataFrame:
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     slot = ok % 8
     raw = F.concat(F.lit("  call("), (pk % 50).cast("string"), F.lit(")  "))
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     return (
-        table(spark, d, "lineitem")
+        balanced(table(spark, d, "lineitem").select(*keys), *keys)
         .select(
             F.concat(F.lit("r"), (ok % 20).cast("string")).alias("repo_id"),
             F.concat(

@@ -22,7 +22,7 @@ def register(key, fn, text=None):
 
 def scan_everything(s, d):
     """All built-in packs over documents, pages and code files, with the default policy."""
-    out = scan_job.scan(both(s, d), as_of=st.AS_OF, vendor="include", max_kb=1 << 20)
+    out = scan_job.scan(src.balanced(both(s, d)), as_of=st.AS_OF, vendor="include", max_kb=1 << 20)
     return out.findings.select("repo_id", "path", "line", "rule_id", "base_severity", "severity", "confidence", "action", "finding_id")
 
 

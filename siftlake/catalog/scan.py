@@ -11,6 +11,7 @@ from siftlake.functions import identity as idn, severity as sv
 from siftlake.functions.paths import extension, scope_glob_regex
 from siftlake.operators import classify as cl, comments as cm, match as mt, rules as rl, scope as sc
 from siftlake.operators import severity as sev, taint as tt
+from siftlake.sources import files as src
 
 QUERIES, ORACLE = {}, {}
 
@@ -69,17 +70,17 @@ def _rule_hits_sql(rules, source: str, name: str) -> str:
 HITS = _rule_hits_sql(CORPUS, "files", "hits")
 register(
     "match_all",
-    lambda s, d: mt.match_table(fx.document_files(s, d), CORPUS).select("repo_id", "path", "rule_id", "off", "text", "value"),
+    lambda s, d: mt.match_table(src.balanced(fx.document_files(s, d)), CORPUS).select("repo_id", "path", "rule_id", "off", "text", "value"),
     sql("files", "SELECT repo_id, path, rule_id, off, text, value FROM hits", HITS),
 )
 register(
     "match_line",
-    lambda s, d: mt.match_table(fx.document_files(s, d), CORPUS).select("repo_id", "path", "rule_id", "off", "line", F.sha2("raw", 256).alias("raw_hash")),
+    lambda s, d: mt.match_table(src.balanced(fx.document_files(s, d)), CORPUS).select("repo_id", "path", "rule_id", "off", "line", F.sha2("raw", 256).alias("raw_hash")),
     sql("files", "SELECT repo_id, path, rule_id, off, line, sha256(raw) AS raw_hash FROM hits", HITS),
 )
 register(
     "snippet_sanitise",
-    lambda s, d: mt.match_table(fx.document_files(s, d), CORPUS).select(
+    lambda s, d: mt.match_table(src.balanced(fx.document_files(s, d)), CORPUS).select(
         "repo_id", "path", "rule_id", "off", F.sha2(idn.strip_control(F.concat(F.lit("\x1b[1m"), "raw", F.lit("\x00\t\u0085"))), 256).alias("snippet_hash")),
     sql("files", "SELECT repo_id, path, rule_id, off, sha256(regexp_replace('[1m' || raw || chr(9), '[\\x00-\\x08\\x0a-\\x1f\\x7f-\\x{9f}]', '', 'g')) AS snippet_hash FROM hits", HITS),
 )
@@ -296,7 +297,7 @@ CODE_RULES = [rl.to_rule(r, "corpus", i) for i, r in enumerate(CODE_RAW)]
 
 
 def scan_stage(s, d, files, rules, **kw):
-    return mt.scan_files(cl.classify_files(files), rules, **kw)
+    return mt.scan_files(cl.classify_files(src.balanced(files)), rules, **kw)
 
 
 FOUND = ["repo_id", "path", "rule_id", "line", "off", "base_severity", "confidence", "finding_id", "code_hash"]

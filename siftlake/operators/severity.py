@@ -44,6 +44,29 @@ def context_modifiers(path: Column, file_type: Column, framework: Column) -> Col
     return F.array_compact(F.array(*parts))
 
 
+def modifier_total(path: Column, file_type: Column, framework: Column) -> Column:
+    """Sum of all modifiers as plain arithmetic: no arrays and no lambdas, so it stays in generated code
+    even when a filter on it is pushed down to the scan."""
+    def by_value(col: Column, table: dict) -> Column:
+        groups: dict[int, list[str]] = {}
+        for name, amount in table.items():
+            groups.setdefault(amount, []).append(name)
+        chain = F.when(F.lit(False), 0)
+        for amount, names in groups.items():
+            chain = chain.when(col.isin(names), amount)
+        return chain.otherwise(0)
+
+    # Every segment is one whole folder name, so folders are intersected with the names once per
+    # distinct amount instead of searching the path for each segment.
+    parts = F.split(F.lower(F.translate(path, "\\", "/")), "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    total = by_value(file_type, TYPE_MODIFIERS) + by_value(framework, FRAMEWORK_MODIFIERS)
+    for step in sorted(set(SEGMENT_MODIFIERS.values()), reverse=True):
+        names = [seg.strip("/") for seg, amount in SEGMENT_MODIFIERS.items() if amount == step]
+        total = total + F.size(F.array_intersect(folders, F.lit(names))) * step
+    return total
+
+
 def modifier_sum(modifiers: Column) -> Column:
     return F.aggregate(modifiers, F.lit(0), lambda acc, m: acc + m["modifier"])
 
@@ -56,7 +79,8 @@ def apply_context(findings: DataFrame, low_score: int = 0, trace: bool = False)
     base = F.when(F.col("base_severity") == "LOW", F.lit(low_score)).otherwise(
         sev.score(F.col("base_severity"))
     )
-    out = out.withColumn("score", base + modifier_sum(F.col("context_modifiers")))
+    total = modifier_total(F.col("path"), F.col("file_type"), F.col("framework"))
+    out = out.withColumn("score", base + total)
     out = out.withColumns(
         {
             "severity": sev.from_score(F.col("score")),

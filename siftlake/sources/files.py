@@ -47,6 +47,18 @@ LARGE_KB = 512
 # --- end of fixed values ---
 
 
+def balanced(files: DataFrame, *keys: str) -> DataFrame:
+    """Spread a plain file scan over all cores when its input has fewer partitions than cores.
+
+    Matching costs far more per byte than moving the text once. A large input has more partitions than
+    cores and is returned as it is, without an exchange. Only for DataFrames that read files directly.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= cores:
+        return files
+    return files.repartition(cores, *(keys or ("repo_id", "path")))
+
+
 def read_tree(spark: SparkSession, root: str, repo_id: str, glob: str | None = None) -> DataFrame:
     """files(repo_id, path, content) of every file under root; path is relative to root.
 
