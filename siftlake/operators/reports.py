@@ -200,8 +200,8 @@ def churn(state: DataFrame, as_of: str) -> DataFrame:
 
 
 def hydrate(state: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Join rule name and text to stored findings; the rule table has the size of the packs."""
-    return state.join(F.broadcast(rule_table), "rule_id", "left")
+    """Join rule name and text to stored findings; the join strategy follows the rule table's size."""
+    return state.join(rule_table, "rule_id", "left")
 
 
 def context_slice(lines: Column, line: Column, around: int) -> Column:

@@ -281,7 +281,7 @@ def registry(rules: DataFrame, languages: DataFrame) -> DataFrame:
     cols = ["source", "name", "severity", "category", "file_types", "match_mode", "why", "fix"]
     one = rules.groupBy("rule_id").agg(F.min_by(F.struct(*cols), first).alias("r")).select("rule_id", "r.*")
     exposure = F.coalesce(F.col("severity") == "EXPOSURE", F.lit(False))
-    j = one.withColumn("exposure", exposure).join(F.broadcast(languages), ["source", "exposure"], "left")
+    j = one.withColumn("exposure", exposure).join(languages, ["source", "exposure"], "left")
     own = F.when(F.size("file_types") > 0, F.col("file_types"))
     return j.withColumn("languages", F.coalesce("languages", own, F.array(F.lit("all")))).drop("exposure", "file_types")
 

@@ -193,9 +193,10 @@ def effective_policy(repos: DataFrame, global_conf: DataFrame, repo_conf: DataFr
     spark = repos.sparkSession
     defaults = spark.createDataFrame(list(POLICY_DEFAULTS.items()), "key string, default_value string")
     glob = global_conf.select("key", F.col("value").alias("global_value"))
-    base = F.broadcast(defaults.join(glob, "key", "left"))
+    base = F.broadcast(defaults.join(glob, "key", "left"))  # one row per known key
     own = repo_conf.select("repo_id", "key", F.col("value").alias("repo_value"))
-    grid = repos.select("repo_id").distinct().crossJoin(base).join(own, ["repo_id", "key"], "left")
+    keys = F.explode(F.lit(list(POLICY_DEFAULTS))).alias("key")
+    grid = repos.select("repo_id").distinct().select("repo_id", keys).join(base, "key").join(own, ["repo_id", "key"], "left")
     return grid.select(
         "repo_id", "key",
         F.coalesce("repo_value", "global_value", "default_value").alias("value"),
