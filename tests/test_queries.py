@@ -9,7 +9,7 @@ KEYS = [
     "src_gitignore", "src_multi_target", "file_signals", "match_all", "comment_inline", "taint_join", "scan_findings",
     "scan_code", "dedup_active", "rule_action", "scope_files", "scope_rules", "reconcile", "recon_counters", "exc_match",
     "exc_decide", "exc_ack_mark", "exc_pending_push", "audit_history", "ins_signals", "rep_remediation", "rep_context",
-    "export_rule_stats", "rules_registry", "fleet_overlap", "dep_requirements", "queue_dispose", "st_tumbling",
+    "export_rule_stats", "rules_registry", "fleet_verify", "dep_requirements", "queue_dispose", "st_tumbling",
     "sink_state_overwrite",
 ]
 
