@@ -92,5 +92,11 @@ def running_before(values: Column) -> Column:
     return let(values, body)
 
 
+def plus_days(ts: Column, days) -> Column:
+    """An instant moved by days of exactly 24 hours, whatever the session's zone does in between."""
+    days = F.lit(days) if isinstance(days, int) else days
+    return F.timestamp_micros(F.unix_micros(ts) + days.cast("bigint") * 86_400_000_000)
+
+
 def count_newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")

@@ -40,10 +40,7 @@ def canonical_remote(remote: Column) -> Column:
 
     def joined(pattern: str) -> Column:
         host = F.lower(F.regexp_extract(raw, pattern, 1))
-        tail = F.regexp_extract(raw, pattern, 2)
-        tail = F.regexp_replace(tail, r"/+\z", "")
-        tail = F.regexp_replace(tail, r"(?i)\.git\z", "")
-        tail = F.regexp_replace(tail, r"^/+", "")
+        tail = F.regexp_replace(F.regexp_extract(raw, pattern, 2), r"(?i)^/+|(?:\.git)?/*\z", "")
         return F.concat(host, F.lit("/"), tail)
 
     return (
@@ -53,10 +50,14 @@ def canonical_remote(remote: Column) -> Column:
     )
 
 
+def id_of(identifier: Column) -> Column:
+    return F.substring(F.sha2(identifier, 256), 1, 16)
+
+
 def repo_id(remote: Column) -> Column:
-    return F.substring(F.sha2(canonical_remote(remote), 256), 1, 16)
+    return id_of(canonical_remote(remote))
 
 
 def repo_id_legacy(remote: Column) -> Column:
     """Identifier of the older scheme: hash of the remote as written."""
-    return F.substring(F.sha2(remote, 256), 1, 16)
+    return id_of(remote)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siftlake.functions.exprs import plus_days
 from siftlake.functions.identity import legacy_line_hash
 from siftlake.functions.ranking import numbered
 
@@ -63,7 +64,7 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, key=FINDING_KEY
 def effective_expiry(status: Column, created_at: Column, expires: Column) -> Column:
     """Explicit deadline, else 14 days for a pending one, else never; an unreadable deadline is never."""
     explicit = F.coalesce(expires, F.lit("")) != ""
-    ttl = F.when(status == "pending", F.try_to_timestamp(created_at) + F.expr(f"INTERVAL {PENDING_DAYS} DAYS"))
+    ttl = F.when(status == "pending", plus_days(F.try_to_timestamp(created_at), PENDING_DAYS))
     return F.when(explicit, F.try_to_timestamp(expires)).otherwise(ttl)
 
 
@@ -107,7 +108,7 @@ def build_exceptions(requests: DataFrame, now: str, standalone: bool) -> DataFra
     )
     tag = F.regexp_replace(F.substring(F.trim("tag"), 1, TAG_LENGTH), r"\s+", "_")
     days = review_days(F.col("review_in"))
-    stamp = F.to_timestamp(F.lit(now)) + F.make_dt_interval(days.cast("int"))
+    stamp = plus_days(F.to_timestamp(F.lit(now)), days)
     fmt = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     in_utc = F.to_utc_timestamp(stamp, F.current_timezone())
     return requests.where(ok).select(
@@ -180,7 +181,7 @@ def list_exceptions(exceptions: DataFrame, status: str, findings: DataFrame) ->
 def expiring_soon(exceptions: DataFrame, as_of: str) -> DataFrame:
     now = F.to_timestamp(F.lit(as_of))
     expiry = effective_expiry(F.col("status"), F.col("created_at"), F.col("expires"))
-    soon = (expiry > now) & (expiry <= now + F.expr(f"INTERVAL {SOON_DAYS} DAYS"))
+    soon = (expiry > now) & (expiry <= plus_days(now, SOON_DAYS))
     return exceptions.where(F.col("archived_at").isNull() & soon)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlake.functions.identity import canonical_remote, repo_id, repo_id_legacy
+from siftlake.functions.identity import canonical_remote, id_of, repo_id_legacy
 
 
 def migrate_repo_ids(stores: DataFrame, remotes: DataFrame) -> DataFrame:
@@ -14,8 +14,9 @@ def migrate_repo_ids(stores: DataFrame, remotes: DataFrame) -> DataFrame:
     exists already, or two stores would meet there, both stay and the collision is reported.
     """
     ids = (
-        remotes.where(canonical_remote(F.col("remote")) != F.col("remote"))
-        .select(repo_id_legacy(F.col("remote")).alias("repo_id"), repo_id(F.col("remote")).alias("new_id"))
+        remotes.select("remote", canonical_remote(F.col("remote")).alias("_canon"))
+        .where("_canon <> remote")
+        .select(repo_id_legacy(F.col("remote")).alias("repo_id"), id_of(F.col("_canon")).alias("new_id"))
         .distinct()
     )
     moving = stores.join(ids, "repo_id")
