@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from siftlake.session import checkpoint_dir
 
@@ -37,12 +37,9 @@ def numbered(df: DataFrame, order: list[str], name: str, out: str = "rank") -> D
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     local = written(local.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), name)
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n")).orderBy("_part").limit(n + 1).collect()
-    before, total = {}, 0
-    for r in sizes:
-        before[r["_part"]] = total
-        total += r["_n"]
-    shifts = df.sparkSession.createDataFrame([(p, b) for p, b in before.items()], "_part long, _before long")
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    shifts = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
     return local.join(F.broadcast(shifts), "_part").withColumn(out, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
