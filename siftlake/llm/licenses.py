@@ -4,6 +4,7 @@ A block meets a notice if it has at least the threshold's share of the notice's
 the number of documents that have them, rarest first, counted over all documents. Then a block of b words can meet
 a notice of t words, a of them needed, only if b >= a (length), if the first b - a + 1 words of the one and the
 first t - a + 1 of the other share a word (prefix), and if enough words follow the shared one (position).
+Of the notices that a block meets, those with the greatest share give the block's labels.
 Blocks without any notice's prefix word are dropped while the text is read; what is left is joined by word.
 
 Null texts count as empty. Repeated rows give repeated results; ties of frequency are broken by the word. An empty
@@ -105,6 +106,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
     kept = common.written(kept.withColumn("rid", F.monotonically_increasing_id()), "license-blocks")
 
     met = joined(kept.select("rid", F.posexplode("blocks").alias("block", "b")), order, ranked, threshold)
+    best = met.groupBy("rid", "block").agg(F.max(F.struct("share", "label")).alias("best"), F.collect_set(F.struct("share", "label")).alias("all"))
+    met = best.select("rid", F.explode(F.filter("all", lambda x: x["share"] == F.col("best.share"))).alias("x")).select("rid", "x.*")
     met = met.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
     every = F.concat(*[F.col(f"at{i}") for i in range(len(places))])
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(places)]))))
