@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import kdtree, licenses, packing, sketches
+from siftlake.llm import kdtree, licenses, packing, signature_tree, sketches
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return signature_tree.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_kd_tree_shards(spark, sf_dir):
     got = kdtree.shards(table(spark, sf_dir, "documents"), parts=8)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -33,6 +37,7 @@ def op10_document_fingerprints(spark, sf_dir):
     return sketches.edits(table(spark, sf_dir, "documents"))
 
 
+QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
