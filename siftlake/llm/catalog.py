@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import kdtree, licenses, packing, signature_tree, sketches
+from siftlake.llm import kdtree, licenses, packing, signature_tree, sketches, suffixes
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -25,6 +25,10 @@ def op3_kd_tree_shards(spark, sf_dir):
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_document_fingerprints(spark, sf_dir):
 
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
+QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_document_fingerprints"] = op10_document_fingerprints
