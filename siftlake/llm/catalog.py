@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import kdtree, licenses, packing, signature_tree, sketches, suffixes
+from siftlake.llm import decontaminate, kdtree, licenses, packing, signature_tree, sketches, suffixes
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return signature_tree.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -41,6 +45,7 @@ def op10_document_fingerprints(spark, sf_dir):
     return sketches.edits(table(spark, sf_dir, "documents"))
 
 
+QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
 QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup

@@ -20,6 +20,10 @@ EMPTY = np.zeros(0, np.uint64)
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Word bytes if words are letters and digits: ASCII ones and all beyond ASCII.
+ALNUM = np.ones(256, bool)
+ALNUM[0:128] = False
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -92,19 +96,19 @@ def laid_out(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[n
     return buf, at
 
 
-def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = _WORD[buf]
+def word_bounds(buf: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    inside = letters[buf]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     return edges[0::2], edges[1::2]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, letters: np.ndarray = _WORD) -> Words:
     """Word hashes of rows lo to hi. A text beyond the limit is read piece by piece, cut between words."""
     if hi - lo == 1 and offsets[hi] - offsets[lo] > LIMIT:
-        hashes = [_words(data, np.array(cut), 0, 1).hashes for cut in _cuts(data, int(offsets[lo]), int(offsets[hi]))]
+        hashes = [_words(data, np.array(cut), 0, 1, letters).hashes for cut in _cuts(data, int(offsets[lo]), int(offsets[hi]))]
         every = np.concatenate(hashes)
         return Words(every, np.array([0, len(every)]))
-    return _words(data, offsets, lo, hi)
+    return _words(data, offsets, lo, hi, letters)
 
 
 def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -117,10 +121,10 @@ def _cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         lo = end
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, letters: np.ndarray) -> Words:
     buf, at = laid_out(data, offsets, lo, hi)
     buf = _LOWER[buf]
-    starts, ends = word_bounds(buf)
+    starts, ends = word_bounds(buf, letters)
     return Words(span_hashes(prefix_sums(buf), starts, ends), np.searchsorted(starts, at))
 
 
