@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, kdtree, licenses, packing, signature_tree, sketches, suffixes
+from siftlake.llm import decontaminate, kdtree, language, licenses, packing, quality, signature_tree, sketches, suffixes
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -29,6 +29,14 @@ def op3_kd_tree_shards(spark, sf_dir):
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark, sf_dir):
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark, sf_dir):
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ def op10_document_fingerprints(spark, sf_dir):
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
+QUERIES["op5_language_id"] = op5_language_id
 QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
