@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, kdtree, language, licenses, packing, quality, signature_tree, sketches, suffixes
+from siftlake.llm import decontaminate, kdtree, language, licenses, packing, quality, signature_tree, sketches, suffixes, toxicity
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -37,6 +37,10 @@ def op5_language_id(spark, sf_dir):
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_dedup(spark, sf_dir):
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
 QUERIES["op4_quality_classifier"] = op4_quality_classifier
 QUERIES["op5_language_id"] = op5_language_id
+QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing

@@ -94,7 +94,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
     least = min(needed(len(rs), threshold) for rs in ranked.values())
 
     gate = "|".join(GAP.join(p.split()) for p in phrases)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text")).alias("lines"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).rlike(gate).alias("maybe"))
+    once = F.explode(F.array(_lines(F.col("text"))))  # a generated column is computed once, however often it is used
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).rlike(gate).alias("maybe"), once.alias("lines"))
     words = F.when(F.col("maybe"), F.flatten("lines"))
     blocks = F.transform(
         F.filter("lines", lambda line: (F.size(line) >= least) & F.arrays_overlap(line, _texts(prefix))),

@@ -438,3 +438,31 @@ def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
     named = least.join(of_root, "root").select("cls", "component_id")
     out = summaries.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+
+
+def representatives(docs: DataFrame, pct: int = PCT) -> DataFrame:
+    """docs, all columns, with one document of each group: that of the least doc_id. Rows repeated with one id and text are
+    one document; rows of one id and different texts stay or go together. Documents without words all stay. Most rows
+    pass by a filter of fixed size and are not moved; an exact join decides on the others."""
+    found = common.written(groups(docs, pct).select("doc_id", "component_id", "n_shingles"), "group-rows")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
+    ids = found.groupBy("doc_id").agg(stays.alias("stays"), F.count_if(F.col("n_shingles") > 0).alias("rows"))
+    doubtful = common.written(ids.where(~F.col("stays") | (F.col("rows") > 1)), "doubtful-ids")
+    bits = common.key_filter(doubtful.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
+    at = docs.columns.index("doc_id")
+
+    def part(wanted: bool):
+        def run(batches):
+            for b in batches:
+                key = b.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield b.filter(pa.array(common.passes(bits, key) == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    own = F.col("doc_id").cast("long")
+    gone = doubtful.where(~F.col("stays")).select(F.col("doc_id").alias("_st_gone"))
+    more = doubtful.where(F.col("stays")).select(F.col("doc_id").alias("_st_more"))
+    looked_at = part(True).join(gone, own.eqNullSafe(F.col("_st_gone")), "left_anti")
+    single = looked_at.join(more, own.eqNullSafe(F.col("_st_more")), "left_anti")
+    repeated = looked_at.join(more, own.eqNullSafe(F.col("_st_more")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return part(False).unionByName(single).unionByName(repeated)
