@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees: connected groups of documents whose shingle sets are alike.
 
 Two texts link when pct percent of the union of their shingle sets is common (sets of 64-bit hashes of five words).
-Equal sets are one class, named by a hash of the set. Every set has a bitmap, a bit or more for each shingle. A tree
+Equal sets are one class, named by a hash of the set. Every set has a bitmap, four bits or more for each shingle. A tree
 over a block of sets holds, in each node, the OR of the bitmaps below and the range of set sizes; traversing two trees
 together drops a pair of nodes if the greatest overlap that bitmaps and sizes allow is too small for a link.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftlake.llm import common, textarrays as ta
 
 PCT = 80
-BANDS = 2
+BANDS = 3
 TILE = 512
 FANOUT = 8
 #: Shingles in at least HOT_FROM documents, HOT_MOST of them at most, come last in the order (it stays one order for all).
@@ -56,7 +56,7 @@ def bands_of(x: np.ndarray, bands: int = BANDS) -> list[int]:
 
 
 def bitmap_words(n: int) -> int:
-    return max(1, 1 << max(0, (2 * n - 1).bit_length() - 6))
+    return max(1, 1 << max(0, (4 * n - 1).bit_length() - 6))
 
 
 def bitmap(x: np.ndarray, words: int) -> np.ndarray:
@@ -93,23 +93,25 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(spare, at)))
 
 
-def _possible(a, b, i: np.ndarray, j: np.ndarray, pct: int) -> np.ndarray:
-    """Which node pairs can hold a link."""
+def _possible(a, b, i: np.ndarray, j: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which node pairs can hold a link, and the greatest overlap of each."""
     (bits_a, lo_a, hi_a, spare_a), (bits_b, lo_b, hi_b, spare_b) = a, b
     keep = np.flatnonzero((hi_a[i] * 100 >= pct * lo_b[j]) & (hi_b[j] * 100 >= pct * lo_a[i]))
     step = max(1, (1 << 18) // bits_a.shape[1])
-    out = []
+    out, bound = [keep[:0]], [keep[:0]]
     for s in range(0, len(keep), step):
         k = keep[s : s + step]
         x, y = i[k], j[k]
         common_bits = np.bitwise_count(bits_a[x] & bits_b[y]).sum(axis=1).astype(np.int64)
         most = np.minimum(np.minimum(spare_a[x], spare_b[y]) + common_bits, np.minimum(hi_a[x], hi_b[y]))
-        out.append(k[most * (100 + pct) >= pct * (lo_a[x] + lo_b[y])])
-    return np.concatenate(out) if out else keep
+        ok = most * (100 + pct) >= pct * (lo_a[x] + lo_b[y])
+        out.append(k[ok])
+        bound.append(most[ok])
+    return np.concatenate(out), np.concatenate(bound)
 
 
-def traverse(a: Tree, b: Tree, pct: int = PCT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of a, j of b) that can be linked; of a tree with itself only i < j."""
+def traverse(a: Tree, b: Tree, pct: int = PCT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i of a, j of b) that can be linked, and the greatest overlap of each; of a tree with itself only i < j."""
     depth = min(len(a.levels), len(b.levels)) - 1
     top_a, top_b = a.levels[depth], b.levels[depth]
     i, j = (x.ravel() for x in np.indices((len(top_a[0]), len(top_b[0]))))
@@ -117,7 +119,7 @@ def traverse(a: Tree, b: Tree, pct: int = PCT) -> tuple[np.ndarray, np.ndarray]:
         if a is b:
             ok = i <= j if level else i < j
             i, j = i[ok], j[ok]
-        keep = _possible(a.levels[level], b.levels[level], i, j, pct)
+        keep, bound = _possible(a.levels[level], b.levels[level], i, j, pct)
         i, j = i[keep], j[keep]
         if level:
             n_a, n_b = len(a.levels[level - 1][0]), len(b.levels[level - 1][0])
@@ -126,7 +128,7 @@ def traverse(a: Tree, b: Tree, pct: int = PCT) -> tuple[np.ndarray, np.ndarray]:
             j = (j[:, None, None] * FANOUT + 0 * fan[None, :, None] + fan[None, None, :]).ravel()
             ok = (i < n_a) & (j < n_b)
             i, j = i[ok], j[ok]
-    return i, j
+    return i, j, bound
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -137,7 +139,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def candidates(bits: list[np.ndarray], sizes: np.ndarray, pct: int = PCT, left: int | None = None):
-    """Pairs of positions that can be linked, by the trees of sets with equally wide bitmaps and of those with bitmaps
+    """Pairs of positions that can be linked and how large the common part may be, by the trees of sets with equally wide bitmaps and of those with bitmaps
     twice as wide. With `left`, only pairs of one position below it and one from it on."""
     words = np.array([len(b) for b in bits])
     parts = np.zeros(len(bits), bool) if left is None else np.arange(len(bits)) >= left
@@ -153,9 +155,9 @@ def candidates(bits: list[np.ndarray], sizes: np.ndarray, pct: int = PCT, left:
                 continue
             one = Tree(m, sizes[at])
             two = one if at is to else Tree(folded(n, w), sizes[to])
-            i, j = traverse(one, two, pct)
+            i, j, bound = traverse(one, two, pct)
             if len(i):
-                yield at[i], to[j]
+                yield at[i], to[j], bound / np.maximum(sizes[at[i]], sizes[to[j]])
 
 
 def spanning_links(sets: list[np.ndarray], pct: int = PCT) -> list[tuple[int, int]]:
@@ -170,7 +172,7 @@ def spanning_links(sets: list[np.ndarray], pct: int = PCT) -> list[tuple[int, in
         return x
 
     out = []
-    for i, j in candidates([bitmap(s, bitmap_words(len(s))) for s in sets], sizes, pct):
+    for i, j, _ in candidates([bitmap(s, bitmap_words(len(s))) for s in sets], sizes, pct):
         near = np.argsort(np.abs(i - j), kind="stable")
         for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
             a, b = find(x), find(y)
@@ -349,8 +351,9 @@ def _postings(docs: DataFrame, hot: np.ndarray, pct: int, bits: np.ndarray | Non
     return _once(docs, rows_of, "token long, cls long")
 
 
-def _pairs(blocks: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of classes of different roots in one block that the trees leave. blocks: token, n, cls, root, bits, members
+def _pairs(blocks: DataFrame, pct: int, likeliest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different roots in one block that the trees leave; with `likeliest`, one pair for
+    each two roots of a block. blocks: token, n, cls, root, bits, members
     (rows of the block). Blocks of up to TILE members are read in one stream; larger ones are cut into tiles of
     the order by size, and each pair of tiles whose sizes fit is a block of its own."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -386,15 +389,29 @@ def _pairs(blocks: DataFrame, pct: int) -> DataFrame:
         root = np.array([r[4] for r in held])
         cls = np.array([r[3] for r in held])
         left = sum(r[1] == 0 for r in held)
-        for i, j in candidates([np.frombuffer(r[5], np.uint64) for r in held], sizes, pct, left if left < len(held) else None):
-            ok = root[i] != root[j]
-            if ok.any():
+        for i, j, bound in candidates([np.frombuffer(r[5], np.uint64) for r in held], sizes, pct, left if left < len(held) else None):
+            ok = np.flatnonzero(root[i] != root[j])
+            if likeliest and len(ok):
+                x, y = root[i[ok]], root[j[ok]]
+                order = np.lexsort((-bound[ok], np.maximum(x, y), np.minimum(x, y)))
+                x, y = np.minimum(x, y)[order], np.maximum(x, y)[order]
+                ok = ok[order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]]
+            if len(ok):
                 a, b = cls[i[ok]], cls[j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(posted: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
+    """The blocks whose members have different roots, each membership once, with sizes and bitmaps."""
+    rooted = roots.select(F.col("id").alias("cls"), "root")
+    posted = posted.join(rooted, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    blocks = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("same")).where("r0 <> r1")
+    blocks = blocks.groupBy("members", "same").agg(F.min("token").alias("token")).select("token", "members")
+    return posted.join(blocks, "token").join(bits, "cls")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = common.written(_sets(docs, wanted), "pair-sets")
@@ -420,16 +437,13 @@ def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
     shared = _postings(docs, hot, pct, None).groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     shared = common.written(shared, "shared-tokens")
     posted = _postings(docs, hot, pct, common.key_filter(shared)).distinct().join(shared, "token", "left_semi")
-    rooted = roots.select(F.col("id").alias("cls"), "root")
-    posted = common.written(posted.join(rooted, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "postings")
-    blocks = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("same")).where("r0 <> r1")
-    blocks = blocks.groupBy("members", "same").agg(F.min("token").alias("token")).select("token", "members")
-    bits = summaries.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"])
-    blocks = common.written(posted.join(blocks, "token").join(bits, "cls"), "blocks")
-    pairs = common.written(_pairs(blocks, pct), "pairs")
-    if not pairs.isEmpty():
-        more = _verified(docs, pairs, pct)
-        links = links.unionByName(more)
+    posted = common.written(posted, "postings")
+    bits = common.written(summaries.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"]), "bitmaps")
+    for likeliest in (True, False):  # most groups meet through one link each; what then still is apart is looked at in full
+        pairs = common.written(_pairs(common.written(_mixed(posted, roots, bits), "blocks"), pct, likeliest), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(common.written(_verified(docs, pairs, pct), "more-links"))
         roots = common.connected(links, "groups")
     least = summaries.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

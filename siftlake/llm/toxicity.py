@@ -2,10 +2,10 @@
 ordinary text.
 
 Dictionaries are trained on words of labelled documents: the toxic one on words at least LIFT times as frequent (by
-documents) in toxic ones and found in LEAST_SHARE of them, the other one on the frequent words of ordinary documents. Both
-are followed by the same common part, so that ordinary text compresses alike with both. Each window of WINDOW words, half of
-it overlapping the next, is compressed with both; how many windows reach each gain, the greatest gain and the number of
-windows are calibrated on the labels by logistic regression.
+documents) in toxic ones and found in LEAST_SHARE of them, the other one on the words of ordinary documents, frequent ones apart. The
+toxic dictionary is followed by the ordinary one, so that ordinary text compresses alike with both. Each window of WINDOW
+words, half of it overlapping the next, is compressed with both; how many windows reach each gain, the greatest gain and
+the number of windows are calibrated on the labels by logistic regression.
 
 Training uses at most MOST_DOCS labelled documents of each class, those with the least hashes of doc_id, and of them
 texts up to MOST_CHARS. Scoring reads every window of every text. Null and empty texts have no window and get the
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftlake.llm import common
 
 MOST_DOCS, MOST_CHARS = 3000, 100_000
-WINDOW = 8
+WINDOW = 4
 LIFT, LEAST_SHARE = 10, 0.02
 TELLING_BYTES, COMMON_BYTES = 1200, 16384
 GAINS = (2, 3, 4, 5, 6, 7, 9)
@@ -70,7 +70,8 @@ class Dictionaries:
         by_count = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))]
         plain = {w: good[w] for w in by_count[200:4000]}
         base = _trained({w: min(20, good[w]) for w in by_count[:20000]}, COMMON_BYTES, 32)
-        self.contents = [_trained(own, TELLING_BYTES, 24) + base for own in (plain, telling)] if telling else []
+        ordinary_part = _trained(plain, TELLING_BYTES, 24) + base
+        self.contents = [ordinary_part, _trained(telling, TELLING_BYTES, 24) + ordinary_part] if telling else []
 
     def compressors(self):
         import zstandard
