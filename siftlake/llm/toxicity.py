@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from siftlake.llm import common
 
 MOST_DOCS, MOST_CHARS = 3000, 100_000
-WINDOW = 4
+WINDOW = 6
 LIFT, LEAST_SHARE = 10, 0.02
-TELLING_BYTES, COMMON_BYTES = 1200, 16384
+TELLING_BYTES, COMMON_BYTES = 1200, 8192
 GAINS = (2, 3, 4, 5, 6, 7, 9)
 THRESHOLD = 0.5
 
