@@ -241,6 +241,7 @@ def spans(docs: DataFrame, n: int = N, keep: str = "none") -> DataFrame:
     if not large.isEmpty():
         own = own.unionByName(_counted_strings(large, n, keep))
     rules = contents.join(common.written(own, "repeated"), ["h", "c"], "left").select("h", "c", F.col("n").alias("times"), F.struct("first.doc_id", "first.doc_key", "first.p").alias("first"), "own")
+    rules = common.written(rules, "rules")  # read anew, so that Spark can split a content that very many places have
 
     hits = found.drop("bytes").join(rules, ["h", "c"])
     whole = F.array(F.struct(F.col("d0").alias("lo"), F.col("d1").alias("hi")))
