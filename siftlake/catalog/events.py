@@ -117,33 +117,32 @@ register(
     FROM (SELECT session_id, (min((ts, seq))).ts AS ts, (min((ts, seq))).seq AS seq, count(code_hash) AS n, count(*) FILTER (code_hash IS NOT NULL AND event = 'finding_blocked') AS blocked FROM fe GROUP BY 1) WHERE n > 0""".replace("(min((ts, seq))).ts", "arg_min(ts, {'a': ts, 'b': seq})").replace("(min((ts, seq))).seq", "arg_min(seq, {'a': ts, 'b': seq})"),
         f"fe AS (SELECT * FROM audit_events WHERE {FE})"),
 )
-TAIL_SQL = "last{n} AS (SELECT * FROM audit_events ORDER BY ts DESC, seq DESC LIMIT {n})"
 register(
     "audit_recent", lambda s, d: au.recent(fx.audit_events(s, d)).withColumn("last_scan", F.date_format("last_scan", TSF)),
     sql("audit_events", """SELECT count(*) FILTER (event = 'scan_started') AS total_scans, count(*) FILTER (event = 'finding_blocked') AS total_blocked, count(*) FILTER (event = 'finding_excepted') AS total_excepted, 0 AS expired_exceptions,
-    strftime(max(ts) FILTER (event = 'scan_started'), '%Y-%m-%dT%H:%M:%S') AS last_scan FROM last200""", TAIL_SQL.format(n=200)),
+    strftime(max(ts) FILTER (event = 'scan_started'), '%Y-%m-%dT%H:%M:%S') AS last_scan FROM audit_events"""),
 )
 register(
     "audit_report_counts", lambda s, d: au.report_counts(fx.audit_events(s, d)),
-    sql("audit_events", "SELECT count(*) FILTER (event = 'scan_started') AS scans, count(*) FILTER (event = 'scan_blocked') AS blocked_scans, count(*) FILTER (event = 'finding_blocked') AS blocked, count(*) FILTER (event = 'finding_warned') AS warned, count(*) FILTER (event = 'finding_excepted') AS excepted, 0 AS expired FROM last500", TAIL_SQL.format(n=500)),
+    sql("audit_events", "SELECT count(*) FILTER (event = 'scan_started') AS scans, count(*) FILTER (event = 'scan_blocked') AS blocked_scans, count(*) FILTER (event = 'finding_blocked') AS blocked, count(*) FILTER (event = 'finding_warned') AS warned, count(*) FILTER (event = 'finding_excepted') AS excepted, 0 AS expired FROM audit_events"),
 )
 register(
     "audit_report_last", lambda s, d: au.report_last(fx.audit_events(s, d)).select("section", "seq", "rule_id", "file", "outcome"),
     sql("audit_events", """SELECT 'blocked' AS section, seq, rule_id, file, NULL AS outcome FROM r WHERE event = 'finding_blocked' AND n <= 10
     UNION ALL SELECT 'excepted', seq, rule_id, file, NULL FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, file ORDER BY ts, seq) AS f FROM r WHERE event = 'finding_excepted' AND n <= 20) WHERE f = 1
-    UNION ALL SELECT 'scan', seq, rule_id, file, CASE WHEN session_id IN (SELECT session_id FROM last500 WHERE event = 'scan_blocked') THEN 'blocked' ELSE 'passed' END FROM r WHERE event = 'scan_started' AND n <= 5""",
-        TAIL_SQL.format(n=500), "r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ts DESC, seq DESC) AS n FROM last500)"),
+    UNION ALL SELECT 'scan', seq, rule_id, file, CASE WHEN session_id IN (SELECT session_id FROM audit_events WHERE event = 'scan_blocked') THEN 'blocked' ELSE 'passed' END FROM r WHERE event = 'scan_started' AND n <= 5""",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ts DESC, seq DESC) AS n FROM audit_events)"),
 )
 
 # ------------------------------------------------------------------ insights over the whole log
 AS_OF = "2024-04-05 00:00:00"
-EV = lambda s, d: ins.window_events(fx.audit_events(s, d), AS_OF, n=None)
+EV = lambda s, d: ins.window_events(fx.audit_events(s, d), AS_OF)
 FI = lambda s, d: ins.finding_events(EV(s, d))
 WIN = "w AS (SELECT * FROM audit_events WHERE ts >= TIMESTAMP '2024-04-05' - INTERVAL 90 DAYS)"
 FW = f"f AS (SELECT * FROM w WHERE {FE})"
 register(
     "ins_window", lambda s, d: ins.finding_events(ins.window_events(fx.audit_events(s, d), "2024-04-27 00:00:00")).select("seq", "event"),
-    sql("audit_events", f"SELECT seq, event FROM last5000 WHERE ts >= TIMESTAMP '2024-04-27' - INTERVAL 90 DAYS AND {FE}", TAIL_SQL.format(n=5000)),
+    sql("audit_events", f"SELECT seq, event FROM audit_events WHERE ts >= TIMESTAMP '2024-04-27' - INTERVAL 90 DAYS AND {FE}"),
 )
 register(
     "ins_meta", lambda s, d: ins.meta(EV(s, d)),

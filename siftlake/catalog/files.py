@@ -199,9 +199,8 @@ TYPES_SQL = f"""ptypes AS (SELECT *, kind LIKE '%?%' AND ext IN {_in(cl.DATA_EXT
   CASE WHEN kind NOT LIKE '%?%' OR ext IN {_in(cl.DATA_EXTENSIONS)} THEN split_part(kind, '?', 1) END AS definitive,
   CASE WHEN kind LIKE '%?%' AND ext NOT IN {_in(cl.DATA_EXTENSIONS)} THEN split_part(kind, '?', 1) END AS tentative,
   coalesce(kind LIKE '%?path', false) AS tentative_is_path FROM kinds)"""
-_head = "array_to_string(string_split(content, chr(10))[1:50], chr(10))"
 SIGNALS_SQL = f"""sig AS (SELECT *, CASE {' '.join(f"WHEN {_m('head', rx)} THEN '{name}'" for name, rx, _ in cl.FRAMEWORK_SIGNALS)} END AS named,
-  {_m('head', cl.GENERIC_SIGNAL)} AS generic FROM (SELECT *, {_head} AS head FROM ptypes))"""
+  {_m('head', cl.GENERIC_SIGNAL)} AS generic FROM (SELECT *, content AS head FROM ptypes))"""
 FINAL_SQL = """classified AS (SELECT *, CASE WHEN file_type IN ('vendor', 'generated') THEN 'excluded'
   WHEN file_type IN ('test', 'fixture') THEN 'test' ELSE 'source' END AS scan_context FROM (SELECT *,
   CASE WHEN definitive IS NOT NULL THEN definitive
@@ -275,5 +274,5 @@ register(
     "file_infra_eligible",
     lambda s, d: spread(s, d).select(*PATHS, cl.infra_eligible(F.col("path"), F.col("content")).alias("eligible")),
     sql("files code_files", f"""SELECT repo_id, path, ext NOT IN {_in(cl.INFRA_SKIP_EXTS)} AND NOT {_m('path', cl.INFRA_TEST_NAME)}
-    AND NOT {_m('path', cl.INFRA_VENDOR)} AND NOT {MINIFIED} AS eligible FROM basic""", *CLASSIFY[:2]),
+    AND NOT {_m('path', cl.INFRA_VENDOR)} AS eligible FROM basic""", *CLASSIFY[:2]),
 )

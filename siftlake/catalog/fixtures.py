@@ -373,6 +373,7 @@ def exceptions(spark: SparkSession, d: str) -> DataFrame:
         F.when(ck % 17 == 0, "withdrawn").alias("archive_reason"),
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("lead"), (ck % 3).cast("string"))).alias("reviewed_by"),
         F.col("o_orderpriority").alias("reason"),
+        F.when(ok % 5 == 0, F.lit("seen")).alias("review_comment"),
     )
 
 
@@ -392,8 +393,8 @@ EXCEPTIONS_SQL = f"""exceptions AS (SELECT 'r' || (o_orderkey % 20) AS repo_id,
     THEN strftime(o_orderdate + INTERVAL 90 DAYS, '%Y-%m-%dT%H:%M:%SZ') END AS expires,
   CASE WHEN o_custkey % 17 = 0 THEN '1998-12-01T00:00:00Z' END AS archived_at,
   CASE WHEN o_custkey % 17 = 0 THEN 'withdrawn' END AS archive_reason,
-  CASE WHEN o_orderstatus = 'P' THEN 'lead' || (o_custkey % 3) END AS reviewed_by, o_orderpriority AS reason
-  FROM orders)"""
+  CASE WHEN o_orderstatus = 'P' THEN 'lead' || (o_custkey % 3) END AS reviewed_by, o_orderpriority AS reason,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'seen' END AS review_comment FROM orders)"""
 
 
 def delivery_queue(spark: SparkSession, d: str) -> DataFrame:

@@ -252,18 +252,16 @@ def _first_ok(rx: str, text: str = "raw") -> str:
 _ex = lambda rx: f"nullif(regexp_extract(raw, {q(rx)}, 1), '')"
 _kw = "(" + ", ".join(f"'{k}'" for k in tt.JS_KEYWORDS) + ")"
 _nokw = lambda e: f"(SELECT CASE WHEN c NOT IN {_kw} THEN c END FROM (SELECT {e} AS c))"
-TMPL = _ex(r"\$\{([a-zA-Z_]\w{1,40})\}")
+_op = tt.OPERANDS
 SINK_SQL = (
     f"""sinks0 AS (SELECT *, CASE WHEN ext = 'py' THEN 'func_concat' WHEN ext = 'php' AND contains(raw, 'echo') THEN 'interpolation'
   WHEN ext = 'php' AND contains(raw, 'exec') THEN 'func_concat' WHEN ext = 'php' THEN 'concat' WHEN ext = 'js' THEN 'concat' ELSE 'func_concat' END AS strategy
   FROM tlines WHERE ext IN ('py', 'php', 'js', 'ts') AND regexp_matches(raw, {q(SINK_WORDS)}))""",
-    f"""cands AS (SELECT *, {_ex('"([^"]+)"')} AS instr_,
-  coalesce({_first_ok(chr(92) + '(' + r'\s*\$([a-zA-Z_]\w*)')}, {_first_ok(r'''\.\s*\$([a-zA-Z_]\w*)\s*[;)"'.\\\]]''')}) AS php_call,
-  coalesce({TMPL}, {_ex(r'''[+]\s*([a-zA-Z_]\w{1,40})\s*[+,);'"`]''')}, {_ex(r'''\(\s*([a-zA-Z_]\w{1,40})\s*[,)]''')}) AS js_call,
-  {_first_ok(r'''\.\s*\$([a-zA-Z_]\w*)\s*[;,"')\]]''')} AS php_concat,
-  coalesce({TMPL}, {_ex(r'''[+]\s*([a-zA-Z_]\w{1,40})\s*[+,;)"'\]`]''')}) AS js_concat FROM sinks0)""",
+    f"""cands AS (SELECT *, {_ex(_op['quoted'])} AS instr_, coalesce({_first_ok(_op['php_passed'])}, {_first_ok(_op['php_joined'])}) AS php_call,
+  coalesce({_ex(_op['template'])}, {_ex(_op['added'])}, {_ex(_op['passed'])}) AS js_call, {_first_ok(_op['php_joined'])} AS php_concat,
+  coalesce({_ex(_op['template'])}, {_ex(_op['added'])}) AS js_concat FROM sinks0)""",
     f"""sinks AS (SELECT repo_id, path, line, raw, CASE strategy WHEN 'interpolation' THEN
-    CASE WHEN instr_ IS NOT NULL THEN {_first_ok(r'\$([a-zA-Z_]\w*)', 'instr_')} ELSE {_first_ok(r'\$([a-zA-Z_]\w*)')} END
+    CASE WHEN instr_ IS NOT NULL THEN {_first_ok(_op['php_any'], 'instr_')} ELSE {_first_ok(_op['php_any'])} END
   WHEN 'func_concat' THEN coalesce(php_call, CASE WHEN js_call NOT IN {_kw} THEN js_call END)
   ELSE coalesce(php_concat, CASE WHEN js_concat NOT IN {_kw} THEN js_concat END) END AS variable FROM cands)""",
 )
@@ -407,7 +405,7 @@ register(
 def _large(s, d):
     big = fx.document_files(s, d).withColumn("content", F.when(F.length("content") > 20000, F.repeat("content", 30)).otherwise(F.col("content")))
     routes = big.select("repo_id", "path", mt.is_large(F.length("content")).alias("is_large"))
-    found = scan_stage(s, d, big, CORPUS, no_limit=True).groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("findings"))
+    found = scan_stage(s, d, big, CORPUS).groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("findings"))
     return routes.join(found, ["repo_id", "path"], "left").where("is_large").select("repo_id", "path", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 

@@ -287,12 +287,13 @@ register(
 
 def _applied(s, d):
     e = fx.exceptions(s, d)
-    return ex.apply_decisions(e, ex.decide(decisions(s, d), e)).select("id", "status", "reviewed_by")
+    return ex.apply_decisions(e, ex.decide(decisions(s, d), e)).select("id", "status", "reviewed_by", "review_comment")
 
 
 register(
     "exc_decide_apply", _applied,
-    sql("exceptions", """SELECT e.id, coalesce(s, status) AS status, coalesce(reviewed_by, r) AS reviewed_by FROM exceptions e LEFT JOIN
+    sql("exceptions", """SELECT e.id, coalesce(s, status) AS status, coalesce(reviewed_by, r) AS reviewed_by,
+    CASE WHEN reviewed_by IS NULL AND r IS NOT NULL THEN 'note' ELSE review_comment END AS review_comment FROM exceptions e LEFT JOIN
     (SELECT repo_id, rid, max_by(status, ord) AS s, min_by(reviewed_by, ord) FILTER (reviewed_by IS NOT NULL AND NOT reviewed) AS r FROM decided WHERE outcome IN ('applied', 'alreadyApplied') GROUP BY ALL) x ON e.repo_id = x.repo_id AND e.id = x.rid""", *DECIDED_SQL),
 )
 

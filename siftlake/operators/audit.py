@@ -8,7 +8,7 @@ from siftlake.functions.ranking import numbered, tail
 
 # Fixed values.
 FINDING_EVENTS = ["finding_blocked", "finding_warned", "finding_excepted", "finding_exception_expired"]
-RECENT, REPORT_TAIL, TOP_RULES, SESSIONS_PER_CHUNK = 200, 500, 20, 10
+TOP_RULES, SESSIONS_PER_CHUNK = 20, 10
 PART_ROWS = 1000
 
 
@@ -157,10 +157,10 @@ def _number_sessions(heads: DataFrame) -> DataFrame:
     )
 
 
-def recent(events: DataFrame, n: int = RECENT) -> DataFrame:
-    """Counts over the last n events and the time of the last scan."""
+def recent(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Counts over the log, or its last n events, and the time of the last scan."""
     e = F.col("event")
-    return tail(events, n).agg(
+    return (tail(events, n) if n else events).agg(
         F.count_if(e == "scan_started").alias("total_scans"), F.count_if(e == "finding_blocked").alias("total_blocked"),
         F.count_if(e == "finding_excepted").alias("total_excepted"),
         F.count_if(e == "finding_exception_expired").alias("expired_exceptions"),
@@ -168,22 +168,20 @@ def recent(events: DataFrame, n: int = RECENT) -> DataFrame:
     )
 
 
-def report_counts(events: DataFrame, n: int = REPORT_TAIL) -> DataFrame:
+def report_counts(events: DataFrame, n: int | None = None) -> DataFrame:
     e = F.col("event")
     names = {
         "scans": "scan_started", "blocked_scans": "scan_blocked", "blocked": "finding_blocked",
         "warned": "finding_warned", "excepted": "finding_excepted", "expired": "finding_exception_expired",
     }
-    return tail(events, n).agg(*[F.count_if(e == v).alias(k) for k, v in names.items()])
+    return (tail(events, n) if n else events).agg(*[F.count_if(e == v).alias(k) for k, v in names.items()])
 
 
-def report_last(events: DataFrame, n: int = REPORT_TAIL) -> DataFrame:
+def report_last(events: DataFrame, n: int | None = None) -> DataFrame:
     """Rows of the report: last 10 expired and blocked, the excepted of the last 20 unique by rule and
-    file, last 5 scans with their outcome. The input of the windows is the bounded tail."""
-    t = tail(events, n)
-    newest = W.partitionBy("event").orderBy(F.desc("ts"), F.desc("seq"))
-    ranked = t.withColumn("_r", F.row_number().over(newest))
-    last = lambda kind, k: ranked.where((F.col("event") == kind) & (F.col("_r") <= k))
+    file, last 5 scans with their outcome, of the whole log or its last n events."""
+    t = (tail(events, n) if n else events)
+    last = lambda kind, k: t.where(F.col("event") == kind).orderBy(F.desc("ts"), F.desc("seq")).limit(k)
     expired = last("finding_exception_expired", 10).withColumn("section", F.lit("expired"))
     blocked = last("finding_blocked", 10).withColumn("section", F.lit("blocked"))
     excepted = last("finding_excepted", 20).withColumn("section", F.lit("excepted"))
@@ -193,4 +191,4 @@ def report_last(events: DataFrame, n: int = REPORT_TAIL) -> DataFrame:
     scans = last("scan_started", 5).withColumn("section", F.lit("scan")).join(outcome, "session_id", "left")
     scans = scans.withColumn("outcome", F.coalesce("outcome", F.lit("passed")))
     out = expired.unionByName(blocked).unionByName(excepted).unionByName(scans, allowMissingColumns=True)
-    return out.drop("_r")
+    return out

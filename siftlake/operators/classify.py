@@ -86,7 +86,6 @@ FRAMEWORK_SIGNALS = [  # framework, pattern, literals one of which every match c
     ("bun-test", r"require\s*\(\s*['\"]bun:test['\"]\s*\)", ["bun:test"]),
 ]
 GENERIC_SIGNAL = r"\b(?:describe|it|expect|assert|should)\s*[.(]"
-HEAD_LINES = 50
 
 FRONTEND_EXTS = ["js", "ts", "jsx", "tsx", "mjs", "cjs", "vue", "svelte", "html", "htm"]
 DOC_EXTS = ["md", "txt", "log", "rst", "adoc"]
@@ -154,13 +153,14 @@ def path_type_columns(files: DataFrame) -> DataFrame:
     ).drop("_kind")
 
 
-def head_of(content: Column) -> Column:
-    return F.substring_index(content, "\n", HEAD_LINES)
+def head_of(content: Column, lines: int | None = None) -> Column:
+    """The first lines, or the whole text."""
+    return F.substring_index(content, "\n", lines) if lines else content
 
 
-def signal_columns(files: DataFrame) -> DataFrame:
-    """Add named_signal (first named framework in the head) and any_signal."""
-    out = files.withColumn("_head", head_of(F.col("content")))
+def signal_columns(files: DataFrame, head_lines: int | None = None) -> DataFrame:
+    """Add named_signal (first named framework in the text or its head) and any_signal."""
+    out = files.withColumn("_head", head_of(F.col("content"), head_lines))
     head = F.col("_head")
     named = F.coalesce(
         *[
@@ -254,10 +254,10 @@ def is_minified(content: Column) -> Column:
     return (F.length(content) > 500) & (F.length(content) / n_lines > 500)
 
 
-def infra_eligible(path: Column, content: Column) -> Column:
-    return (
+def infra_eligible(path: Column, content: Column, skip_minified: bool = False) -> Column:
+    named = (
         ~extension(path).isin(INFRA_SKIP_EXTS)
         & ~path.rlike(INFRA_TEST_NAME)
         & ~path.rlike(INFRA_VENDOR)
-        & ~is_minified(content)
     )
+    return named & ~is_minified(content) if skip_minified else named

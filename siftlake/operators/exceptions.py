@@ -78,7 +78,9 @@ def verdict(status: Column, expiry: Column, as_of: Column) -> Column:
 def apply_exceptions(findings: DataFrame, exceptions: DataFrame, as_of: str, key=FINDING_KEY) -> DataFrame:
     """Add exc, exc_verdict, excepted, exception_expired, exception_rejected. `as_of` is ISO-8601 UTC."""
     matched = match_exceptions(findings, exceptions, key)
-    out = findings.join(matched, key, "left")
+    side = matched.select(*[F.col(k).alias(f"_m_{k}") for k in key], "exc")
+    same = [findings[k].eqNullSafe(F.col(f"_m_{k}")) for k in key]  # a finding may have no line
+    out = findings.join(side, same, "left").drop(*[f"_m_{k}" for k in key])
     e = F.col("exc")
     v = verdict(e["status"], effective_expiry(e["status"], e["created_at"], e["expires"]), F.to_timestamp(F.lit(as_of)))
     out = out.withColumn("exc_verdict", F.when(e.isNotNull(), v))
@@ -127,8 +129,8 @@ def duplicates(requests: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 
 def archive(exceptions: DataFrame, ids: DataFrame, at: str) -> DataFrame:
-    """Archive by ids(repo_id, id, reason); the first reason of an archived record stays."""
-    want = ids.where(F.col("reason").isin(ARCHIVE_REASONS)).groupBy("repo_id", "id").agg(F.min("reason").alias("_why"))
+    """Archive by ids(repo_id, id, reason and, to tell the first reason, ord); the first reason stays."""
+    want = ids.where(F.col("reason").isin(ARCHIVE_REASONS)).groupBy("repo_id", "id").agg(F.min_by("reason", "ord" if "ord" in ids.columns else "reason").alias("_why"))
     out = exceptions.join(want, ["repo_id", "id"], "left")
     now = F.col("archived_at").isNull() & F.col("_why").isNotNull()
     return out.withColumns(
@@ -259,11 +261,13 @@ def apply_decisions(exceptions: DataFrame, decided: DataFrame) -> DataFrame:
         F.max_by("status", "ord").alias("_status"),
         F.min_by(F.struct("reviewed_by", "review_comment"), F.when(F.col("adds_review"), F.col("ord"))).alias("_rev"),
     )
+    stored = F.col("review_comment") if "review_comment" in exceptions.columns else F.lit(None).cast("string")
+    new = F.col("reviewed_by").isNull() & F.col("_rev").isNotNull()  # the comment goes with the reviewer
     return exceptions.join(last, ["repo_id", "id"], "left").withColumns(
         {
             "status": F.coalesce("_status", "status"),
             "reviewed_by": F.coalesce("reviewed_by", F.col("_rev.reviewed_by")),
-            "review_comment": F.col("_rev.review_comment"),
+            "review_comment": F.when(new, F.coalesce("_rev.review_comment", stored)).otherwise(stored),
         }
     ).drop("_status", "_rev")
 

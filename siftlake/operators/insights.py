@@ -9,11 +9,11 @@ from siftlake.functions.ranking import tail
 from siftlake.operators.audit import FINDING_EVENTS
 
 # Fixed values.
-TAIL, DAYS = 5000, 90
+DAYS = 90
 WEEKDAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 
 
-def window_events(events: DataFrame, as_of: str, days: int = DAYS, n: int | None = TAIL) -> DataFrame:
+def window_events(events: DataFrame, as_of: str, days: int = DAYS, n: int | None = None) -> DataFrame:
     """The last n events (all when n is None) not older than `days` before as_of."""
     base = tail(events, n) if n else events
     cutoff = F.to_timestamp_ntz(F.lit(as_of)) - F.expr(f"INTERVAL {days} DAYS")

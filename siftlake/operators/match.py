@@ -89,7 +89,7 @@ def _window(blocks: Column, off: Column, behind: Column, ahead: Column) -> Colum
     return F.substr(text, (start + 1).cast("int"), (off + ahead - F.greatest(off - behind, F.lit(0))).cast("int"))
 
 
-def _gate(rules: list[Rule], mode: str, no_limit: bool) -> Column:
+def _gate(rules: list[Rule], mode: str, taint_max_kb: int | None) -> Column:
     """array<int> of the emission ranks of rules that hit this file at least once."""
     ext, content, low = F.col("ext"), F.col("content"), F.col("_low")
     tests = []
@@ -106,8 +106,8 @@ def _gate(rules: list[Rule], mode: str, no_limit: bool) -> Column:
                 cond = cond & ~F.col("file_type").isin(list(r.skip_for_file_types))
         if kind != "secrets":
             cond = cond & (F.col("scan_context") == "source")
-        if r.taint_aware and no_limit:
-            cond = cond & ~is_large(F.length("content"))
+        if r.taint_aware and taint_max_kb:
+            cond = cond & (F.floor(F.length("content") / 1024 + 0.5) <= taint_max_kb)
         if r.keywords and r.match_mode != "filename":
             cond = cond & any_contains(low, r.keywords)
         tests.append(F.when(cond & subject.rlike(r.java), F.lit(rank)))
@@ -230,7 +230,7 @@ def _found() -> Column:
 
 def scan_files(
     classified: DataFrame, rules: list[Rule], *, mode: str = "full", inline_comments: bool = False,
-    no_limit: bool = False,
+    taint_max_kb: int | None = None,
 ) -> DataFrame:
     """Raw findings of classified files(repo_id, path, content, ext, file_type, framework, ...).
 
@@ -246,7 +246,7 @@ def scan_files(
             "_low": F.lower("content"),
             "_infra": infra_eligible(F.col("path"), F.col("content")),
         }
-    ).withColumn("_hits", _gate(rules, mode, no_limit))
+    ).withColumn("_hits", _gate(rules, mode, taint_max_kb))
     files = files.withColumns(
         {
             "_kinds": F.when(

@@ -17,14 +17,15 @@ from siftlake.functions.regexes import java_pattern
 
 PACK_DIR = pathlib.Path(__file__).resolve().parents[1] / "rulepacks"
 
-# Shared anti-pattern presets by name (own wording), allowed values.
+# Anti-patterns that several packs share: words of sample and test material; an address that is compared or tested rather
+# than used; names reserved for documentation; values taken from the environment.
 PRESETS = {
-    "DEV_CONTEXT": r"(?:example|sample|placeholder|todo|fixme|demo|mock|fake|dummy|\btest|\bspec\b)",
-    "ADDR_AS_DATA": r"(?:[=!]=\s*['\"`]|\.startswith\s*\(|is_loopback|is_private|is_reserved|e\.g\.|i\.e\."
-    r"|for\s+example|log\.(?:debug|info|warning|error)\s*\()",
-    "LINK_EXAMPLE": r"(?:example\.(?:com|org|net)|your[-_]?(?:host|domain|server|url)|<host>|<server>)",
-    "ENV_VAR_REF": r"(?:process\.env|os\.environ|getenv|\$\{|%[A-Z_]+%)",
+    "DEV_CONTEXT": r"\b(?:demo|dev|development|dummy|example|fake|fixtures?|mock(?:ed|s)?|sandbox|sample|stub|tests?|testing)\b",
+    "ADDR_AS_DATA": r"[!=]==?\s*[\"'`]|\b(?:ip_?network|ip_?address|subnet|cidr|inet_aton|loopback|starts_?with)\b",
+    "LINK_EXAMPLE": r"\bexample\.(?:com|edu|net|org)\b|\.(?:example|invalid|localhost|test)\b|\b(?:my|your)[-_.]\w+",
+    "ENV_VAR_REF": r"\b(?:env|environ|getenv|ENV)\b\s*[.(\[]|\$\{\w+\}|%\w+%",
 }
+# Allowed values.
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "EXPOSURE", "INFO", "LOW"]
 CONFIDENCE = ["HIGH", "MEDIUM", "LOW"]
 

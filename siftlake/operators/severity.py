@@ -114,13 +114,20 @@ def split_routes(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 EMISSION = ["rule_rank", "off"]
 
 
+def _first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key; combined before the exchange, so a key of any size is no burden."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+
+
 def dedup_active(active: DataFrame, emission=EMISSION) -> DataFrame:
     """One finding per (rule, line), then only the severest of a line (equal ranks all stay).
 
     Order: tainted first, then severity, then emission. A row of a lower rank is dropped when a more
     severe one was already kept on its line; since the order inside taint groups is by rank, comparing
     with the least rank of all earlier rows is exact (dropped rows never lower that minimum). The
-    windows hold the findings of one line, which is bounded by the rules and the line's length.
+    window comes after the first step, so it holds one row per rule at most, however often rules match on a line.
     """
     keyed = active.withColumns(
         {
@@ -130,19 +137,15 @@ def dedup_active(active: DataFrame, emission=EMISSION) -> DataFrame:
     )
     order = [F.col("_t"), F.col("_r"), *[F.col(c) for c in emission]]
     per_line = ["repo_id", "path", "line"]
-    # Both windows are satisfied by hashing on the line's key, so there is a single exchange.
-    first = W.partitionBy(*per_line, "rule_id").orderBy(*order)
+    unique = _first_of(keyed, [*per_line, "rule_id"], order)
     earlier = W.partitionBy(*per_line).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    spread = keyed.repartition(*[F.col(c) for c in per_line])
-    unique = spread.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     kept = unique.withColumn("_best", F.coalesce(F.min("_r").over(earlier), F.lit(99))).where("_r <= _best")
-    return kept.drop("_t", "_r", "_n", "_best")
+    return kept.drop("_t", "_r", "_best")
 
 
 def dedup_suppressed(suppressed: DataFrame, emission=EMISSION) -> DataFrame:
     """First emitted finding per (rule, path, line)."""
-    w = W.partitionBy("repo_id", "path", "line", "rule_id").orderBy(*emission)
-    return suppressed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _first_of(suppressed, ["repo_id", "path", "line", "rule_id"], [F.col(c) for c in emission])
 
 
 def rule_action(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftlake.operators import classify, exceptions as ex, match, reconcile as rc, rules as rl, scope as sc, severity as sev
+from siftlake.operators import audit, classify, exceptions as ex, match, reconcile as rc, rules as rl, scope as sc, severity as sev
 from siftlake.sources import files as src, store
 
 
@@ -19,6 +20,8 @@ class ScanResult:
     coverage: DataFrame
     skipped: DataFrame
     excluded_rules: DataFrame
+    routed: DataFrame
+    finish: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
 
 
 def select_files(
@@ -40,7 +43,7 @@ def scan(
     files: DataFrame, rules: list[rl.Rule] | None = None, *, as_of: str, exceptions: DataFrame | None = None,
     policy: DataFrame | None = None, overrides: DataFrame | None = None, scope_rules: DataFrame | None = None,
     mode: str = "full", inline_comments: bool = False, no_limit: bool = False, low_score: int = 0,
-    trace: bool = False, **selection,
+    trace: bool = False, taint_max_kb: int | None = None, **selection,
 ) -> ScanResult:
     """Scan files(repo_id, path, content) with the given rules (default: the built-in packs).
 
@@ -50,40 +53,53 @@ def scan(
     rules = rules if rules is not None else rl.load_packs()
     kept, skipped = select_files(files, no_limit=no_limit, **selection)
     classified = classify.classify_files(kept)
-    raw = match.scan_files(classified, rules, mode=mode, inline_comments=inline_comments, no_limit=no_limit)
+    raw = match.scan_files(classified, rules, mode=mode, inline_comments=inline_comments, taint_max_kb=taint_max_kb)
     routed = sev.apply_context(raw, low_score=low_score, trace=trace)
-    active, suppressed = sev.split_routes(routed)
-    findings = sev.dedup_active(active)
-    excluded = None
-    if scope_rules is not None:
-        findings, excluded = sc.exclude_rules(findings, scope_rules)
-    if excluded is None:
-        excluded = files.sparkSession.createDataFrame([], "rule_id string, findings_excluded bigint")
-    if exceptions is not None:
-        findings = ex.apply_exceptions(findings, exceptions, as_of)
-    else:
-        none = F.lit(False)
-        findings = findings.withColumns({"excepted": none, "exception_expired": none, "exception_rejected": none})
-    if policy is None and overrides is None:
-        findings = findings.withColumn("action", sev.rule_action_noconfig(F.col("base_severity")))
-    else:
-        findings = sev.rule_action(findings, policy, overrides)
-    findings = findings.withColumn("blocks", ~F.col("excepted") & (F.col("action") == "block"))
-    return ScanResult(findings, sev.dedup_suppressed(suppressed), match.coverage(classified), skipped, excluded)
+    none = files.sparkSession.createDataFrame([], "rule_id string, findings_excluded bigint")
+
+    def finish(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(findings, suppressed, excluded rules) of routed rows, lazily scanned or read from a table."""
+        active, suppressed = sev.split_routes(rows)
+        findings, excluded = sev.dedup_active(active), none
+        if scope_rules is not None:
+            findings, excluded = sc.exclude_rules(findings, scope_rules)
+        if exceptions is not None:
+            findings = ex.apply_exceptions(findings, exceptions, as_of)
+        else:
+            no = F.lit(False)
+            findings = findings.withColumns({"excepted": no, "exception_expired": no, "exception_rejected": no})
+        if policy is None and overrides is None:
+            findings = findings.withColumn("action", sev.rule_action_noconfig(F.col("base_severity")))
+        else:
+            findings = sev.rule_action(findings, policy, overrides)
+        findings = findings.withColumn("blocks", ~F.col("excepted") & (F.col("action") == "block"))
+        return findings, sev.dedup_suppressed(suppressed), excluded
+
+    findings, suppressed, excluded = finish(routed)
+    return ScanResult(findings, suppressed, match.coverage(classified), skipped, excluded, routed, finish)
 
 
 def persist(result: ScanResult, *, root: str, scan_id: str, at: str, rules: DataFrame, empty_state: DataFrame,
-            branch: str | None = None, scope_rules: DataFrame | None = None) -> DataFrame:
-    """Write the scan once, merge it into the state and archive expired and resolved exceptions' input.
+            branch: str | None = None, scope_rules: DataFrame | None = None, exceptions: DataFrame | None = None,
+            scans: DataFrame | None = None) -> DataFrame:
+    """Write the scan, merge it into the state, log it and archive exceptions that are over; returns the transitions.
 
-    Later steps read the written snapshot, so the texts are scanned a single time however many tables
-    are derived from the findings.
+    The texts are scanned a single time: the routed rows are written, and all other tables are derived from that table.
+    scans(session_id, ts, hook, scan_mode, files_count, git_user) is the one row of this scan for the event log.
+    Order: snapshot, log of the scan, reconciliation, log of transitions, archive of resolved and expired exceptions.
     """
     spark = result.findings.sparkSession
-    store.write_scan(result.findings, f"{root}/findings", scan_id)
-    store.write_scan(result.suppressed, f"{root}/suppressed", scan_id)
-    store.write_scan(result.coverage, f"{root}/coverage", scan_id)
     one = lambda name: spark.read.parquet(f"{root}/{name}/scan_id={scan_id}")
+    store.write_scan(result.routed, f"{root}/routed", scan_id)
+    store.write_scan(result.coverage, f"{root}/coverage", scan_id)
+    findings, suppressed, _ = result.finish(one("routed"))
+    store.write_scan(findings, f"{root}/findings", scan_id)
+    store.write_scan(suppressed, f"{root}/suppressed", scan_id)
+    if scans is not None:
+        logged = one("findings").withColumn("session_id", F.lit(scan_id))
+        if "exc" not in logged.columns:
+            logged = logged.withColumn("exc", F.lit(None).cast("struct<id:string,reviewed_by:string>"))
+        store.append_events(audit.scan_events(logged, scans).withColumn("ts", F.col("ts").cast("timestamp")), f"{root}/events")
     cols = ["repo_id", "finding_id", "rule_id", "path", "line", "code_hash", "severity", "base_severity", "snippet", "confidence", "off"]
     rows = one("findings").select(*cols, F.lit(False).alias("suppressed")).unionByName(
         one("suppressed").select(*cols, F.lit(True).alias("suppressed"))
@@ -96,4 +112,10 @@ def persist(result: ScanResult, *, root: str, scan_id: str, at: str, rules: Data
     store.write_scan(merged, f"{root}/transitions", scan_id)
     written = one("transitions")
     store.write_state(rc.new_state(written), f"{root}/state")
+    if scans is not None:
+        store.append_events(audit.reconcile_events(written, scan_id, at).withColumn("ts", F.to_timestamp("ts")), f"{root}/events")
+    if exceptions is not None:
+        resolved = written.where("transition = 'resolved'")
+        ended = ex.archive_expired(ex.archive_resolved(exceptions, resolved, at), at)
+        store.write_state(ended, f"{root}/exceptions")
     return written

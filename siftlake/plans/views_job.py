@@ -21,7 +21,7 @@ def findings_view(
     return rp.findings_view(rp.hydrate(rows, rule_texts), view, by_file)
 
 
-def insights(events: DataFrame, as_of: str, days: int = ins.DAYS, n: int | None = ins.TAIL) -> dict[str, DataFrame]:
+def insights(events: DataFrame, as_of: str, days: int = ins.DAYS, n: int | None = None) -> dict[str, DataFrame]:
     """All analyses over one window of the event log."""
     window = ins.window_events(events, as_of, days, n)
     found = ins.finding_events(window)

@@ -27,10 +27,13 @@ def local_session(cores: str = "*", app: str = "siftlake", **conf: str) -> Spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables: spark.checkpoint.dir, or a scratch folder in tests."""
+    """Shared folder for written intermediate tables: spark.checkpoint.dir. Only where driver and executors are one
+    process may it be unset; then a scratch folder serves."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -42,7 +42,6 @@ CHANGED_SKIP_EXTS = [
     ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".pdf", ".zip",
     ".tar", ".gz", ".map",
 ]
-MAX_SIZE = 2 * 1024 * 1024
 LARGE_KB = 512
 # --- end of fixed values ---
 
@@ -105,12 +104,12 @@ def vendor_filter(files: DataFrame, mode: str = "exclude") -> DataFrame:
 
 
 def size_columns(files: DataFrame, max_kb: int | None = None, no_limit: bool = False) -> DataFrame:
-    """Add size_kb, is_large and skip_reason (null for files that are kept); sizes are string lengths."""
-    limit = max_kb * 1024 if max_kb else MAX_SIZE
+    """Add size_kb, is_large and skip_reason (null for files that are kept); sizes are string lengths. Without max_kb
+    no file is too large."""
     kb = F.floor(F.length("content") / 1024 + 0.5)
     reason = F.when(F.col("content").isNull(), "unreadable")
-    if not no_limit:
-        reason = reason.when(F.length("content") > limit, "too_large")
+    if max_kb and not no_limit:
+        reason = reason.when(F.length("content") > max_kb * 1024, "too_large")
     return files.withColumns({"size_kb": kb, "is_large": kb > LARGE_KB, "skip_reason": reason})
 
 
@@ -119,10 +118,9 @@ def size_guard(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept files, skipped(repo_id, path, reason, size_kb, limit_kb))."""
     sized = size_columns(files, max_kb, no_limit)
-    limit_kb = max_kb or MAX_SIZE // 1024
     skipped = sized.where(F.col("skip_reason").isNotNull()).select(
         "repo_id", "path", F.col("skip_reason").alias("reason"), "size_kb",
-        F.when(F.col("skip_reason") == "too_large", F.lit(limit_kb).cast("bigint")).alias("limit_kb"),
+        F.when(F.col("skip_reason") == "too_large", F.lit(max_kb).cast("bigint")).alias("limit_kb"),
     )
     return sized.where(F.col("skip_reason").isNull()).drop("skip_reason"), skipped
 

@@ -16,34 +16,32 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Complete versions, oldest first: folders whose writer has left its mark of success."""
+    fs, base = _fs(spark, root)
+    if not fs.exists(base):
+        return []
+    names = [str(s.getPath().getName()) for s in fs.listStatus(base)]
+    return sorted(n for n in names if n.startswith("v-") and fs.exists(_fs(spark, f"{root}/{n}/_SUCCESS")[1]))
+
+
 def write_state(df: DataFrame, root: str) -> str:
-    """Write a new version of a state table, then move the pointer; readers never see half a version.
+    """Write the next version of a state table; readers never see half a version.
 
-    The new version goes to a folder of its own, so a plan that reads the current version can write
-    the next one, and losing an executor halfway leaves the old version in place.
+    Versions are numbered folders that are never changed, and the highest complete one counts. So a plan that
+    reads the current version can write the next one, and an interruption at any point leaves the last one in place.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    done = _versions(df.sparkSession, root)
+    number = int(done[-1].split("-")[1]) + 1 if done else 1
+    version = f"v-{number:012d}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/_next"
-    )
-    fs, cur = _fs(spark, f"{root}/_current")
-    nxt = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_next")
-    fs.delete(cur, True)
-    if not fs.rename(nxt, cur):
-        raise OSError(f"could not move the state pointer of {root}")
     return version
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame | None:
     """Current version of a state table, or None when nothing was written yet."""
-    for name in ("_current", "_next"):
-        fs, pointer = _fs(spark, f"{root}/{name}")
-        if fs.exists(pointer):
-            version = spark.read.text(f"{root}/{name}").first()[0]
-            return spark.read.parquet(f"{root}/{version}")
-    return None
+    done = _versions(spark, root)
+    return spark.read.parquet(f"{root}/{done[-1]}") if done else None
 
 
 def append_events(events: DataFrame, root: str) -> None:

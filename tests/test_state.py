@@ -122,3 +122,16 @@ def test_verdict_paths_need_a_directory_boundary(spark):
     v = spark.createDataFrame([("r", "a.js", "R", 1, 1, True, "0.9", None)], "repo_id string, path string, rule_id string, line int, ord int, confirmed boolean, confidence string, error string")
     got = {r.path: r.verdict is not None for r in export.join_verdicts(f, v).collect()}
     assert got == {"src/a.js": True, "src/xa.js": False}
+
+
+def test_findings_without_a_line_keep_their_exception(spark):
+    cols = "repo_id string, finding_id string, rule_id string, path string, line long, off long, suppressed boolean, snippet string, code_hash string"
+    found = spark.createDataFrame([("r", "f", "R1", "a/b.js", None, 0, False, "", "h")], cols)
+    exc = spark.createDataFrame(
+        [("r", "e1", 1, "R1", "a/b.js", None, None, None, None, None, "approved", "2024-01-01T00:00:00Z", None, "x")],
+        "repo_id string, id string, exc_ord long, rule_id string, path string, line long, line_hash string, range_from long, range_to long, archived_at string,"
+        " status string, created_at string, expires string, reviewed_by string",
+    )
+    key = [k for k in ex.FINDING_KEY]
+    assert set(key) <= set(found.columns)
+    assert ex.apply_exceptions(found, exc, "2024-05-01T00:00:00Z").first().excepted
