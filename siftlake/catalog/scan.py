@@ -425,8 +425,8 @@ register(
 )
 register(
     "code_hash",
-    lambda s, d: fx.document_files(s, d).select("repo_id", "path", idn.code_hash(F.substring_index("content", "\n", 1)).alias("code_hash")),
-    sql("files", "SELECT repo_id, path, CASE WHEN l <> '' THEN substring(sha256(l), 1, 32) END AS code_hash FROM (SELECT *, string_split(content, chr(10))[1] AS l FROM files)"),
+    lambda s, d: fx.document_files(s, d).select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("line", "l")).select("repo_id", "path", "line", idn.code_hash(F.col("l")).alias("code_hash")),
+    sql("files", "SELECT repo_id, path, line, CASE WHEN l <> '' THEN substring(sha256(l), 1, 32) END AS code_hash FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM files)"),
 )
 register(
     "legacy_line_hash",

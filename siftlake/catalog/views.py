@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftlake.catalog import fixtures as fx
 from siftlake.catalog.files import q
 from siftlake.catalog.fixtures import sql
 from siftlake.operators import deps as dp, export as xp, fleet as fl, queue as qu, reports as rp, rules as rl
+from siftlake.session import checkpoint_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -159,7 +162,19 @@ def _export(s, d):
 DV_SQL = f"dv AS (SELECT source AS repo_id, ({fx._sql_list(fx.DIRS)})[doc_id % 8 + 1] || '/f' || doc_id || '.' || ({fx._sql_list(fx.DOC_EXTS)})[(doc_id // 8) % 6 + 1] AS path, quality = 1 AS confirmed FROM labels JOIN documents USING (doc_id))"
 EXPORT_SQL = sql("files", "SELECT repo_id, path, line, rule_id, CASE WHEN confirmed THEN 'confirmed' ELSE 'false_positive' END AS verdict_kind, sha256(array_to_string(context, chr(10))) AS context FROM df JOIN dv USING (repo_id, path) JOIN ctx USING (repo_id, path, line) WHERE severity = 'CRITICAL'", DF_SQL, CTX(5), DV_SQL)
 register("export_findings", _export, EXPORT_SQL)
-register("sink_export", _export, EXPORT_SQL)
+
+
+def _export_sink(s, d):
+    """All findings, written as JSON lines to the shared folder and read back."""
+    cols = ["repo_id", "path", "line", "rule_id", "verdict_kind", "context"]
+    out = f"{checkpoint_dir(s)}/siftlake-export-{uuid.uuid4().hex}"
+    records = xp.export_findings(doc_findings(s, d), doc_verdicts(s, d), fx.document_files(s, d)).select(*cols)
+    records.write.json(out)
+    back = s.read.schema(records.schema).json(out)
+    return back.select(*cols[:-1], F.sha2(F.array_join("context", "\n"), 256).alias("context"))
+
+
+register("sink_export", _export_sink, sql("files", "SELECT repo_id, path, line, rule_id, CASE WHEN confirmed THEN 'confirmed' WHEN NOT confirmed THEN 'false_positive' END AS verdict_kind, sha256(array_to_string(context, chr(10))) AS context FROM df LEFT JOIN dv USING (repo_id, path) JOIN ctx USING (repo_id, path, line)", DF_SQL, CTX(5), DV_SQL))
 
 # ------------------------------------------------------------------ registry
 def rule_rows(s, d):
