@@ -270,15 +270,15 @@ def _once(docs: DataFrame, rows_of, schema: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, items) of each wanted class, once."""
+def _sets(docs: DataFrame, wanted: DataFrame, form) -> DataFrame:
+    """(cls, n, items) of each wanted class, once; items: the bytes of form(set)."""
     bits = common.key_filter(wanted.select("cls"))
 
     def rows_of(s, cls):
         c = np.array([cls], np.int64)
-        return (c, [s.tobytes()]) if common.passes(bits, c)[0] else None
+        return (c, np.array([len(s)]), [form(s).tobytes()]) if common.passes(bits, c)[0] else None
 
-    got = _once(docs, rows_of, "cls long, items binary")
+    got = _once(docs, rows_of, "cls long, n long, items binary")
     return got.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -353,7 +353,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, pct: int, bits: np.ndarray | Non
 
 def _pairs(blocks: DataFrame, pct: int, likeliest: bool) -> DataFrame:
     """Pairs (a, b) of classes of different roots in one block that the trees leave; with `likeliest`, one pair for
-    each two roots of a block. blocks: token, n, cls, root, bits, members
+    each two roots. blocks: token, n, cls, root, bits, members
     (rows of the block). Blocks of up to TILE members are read in one stream; larger ones are cut into tiles of
     the order by size, and each pair of tiles whose sizes fit is a block of its own."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -398,9 +398,15 @@ def _pairs(blocks: DataFrame, pct: int, likeliest: bool) -> DataFrame:
                 ok = ok[order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]]
             if len(ok):
                 a, b = cls[i[ok]], cls[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                x, y = root[i[ok]], root[j[ok]]
+                cols = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), bound[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "x", "y", "bound"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    found_pairs = rows.mapInArrow(run, "a long, b long, x long, y long, bound double")
+    if likeliest:
+        best = found_pairs.groupBy("x", "y").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
+        return best.select("p.a", "p.b")
+    return found_pairs.select("a", "b").distinct()
 
 
 def _mixed(posted: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
@@ -412,17 +418,40 @@ def _mixed(posted: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
     return posted.join(blocks, "token").join(bits, "cls")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
+def wide_bitmap(x: np.ndarray) -> np.ndarray:
+    """A bitmap of 16 bits or more for each shingle."""
+    return bitmap(x, 4 * bitmap_words(len(x)))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, pct: int = PCT) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can be linked."""
+    words = min(len(a), len(b))
+    x, y = folded(a[None, :], words)[0], folded(b[None, :], words)[0]
+    common_bits = int(np.bitwise_count(x & y).sum())
+    most = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum())) + common_bits
+    return min(most, n, m) * (100 + pct) >= pct * (n + m)
+
+
+def _filtered(docs: DataFrame, pairs: DataFrame, form, test, name: str) -> DataFrame:
+    """The pairs whose sets, in that form, pass the test."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = common.written(_sets(docs, wanted), "pair-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
+    sets = common.written(_sets(docs, wanted, form), name)
+    one, two = (sets.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("items").alias(x)) for c, n, x in (("a", "na", "x"), ("b", "nb", "y")))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
 
     def run(batches):
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), pct) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            rows = zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)
+            ok = [test(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), n, m) for x, y, n, m in rows]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
+    """The pairs that are linked. Wide bitmaps, a quarter of the sets' size, go first; few other pairs pass them."""
+    near = common.written(_filtered(docs, pairs, wide_bitmap, lambda x, y, n, m: may_link(x, y, n, m, pct), "pair-bitmaps"), "near-pairs")
+    return _filtered(docs, near, lambda s: s, lambda x, y, n, m: linked(x, y, pct), "pair-sets")
 
 
 def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
@@ -439,10 +468,13 @@ def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
     posted = _postings(docs, hot, pct, common.key_filter(shared)).distinct().join(shared, "token", "left_semi")
     posted = common.written(posted, "postings")
     bits = common.written(summaries.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"]), "bitmaps")
+    tried = None
     for likeliest in (True, False):  # most groups meet through one link each; what then still is apart is looked at in full
-        pairs = common.written(_pairs(common.written(_mixed(posted, roots, bits), "blocks"), pct, likeliest), "pairs")
+        pairs = _pairs(common.written(_mixed(posted, roots, bits), "blocks"), pct, likeliest)
+        pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
+        tried = pairs
         links = links.unionByName(common.written(_verified(docs, pairs, pct), "more-links"))
         roots = common.connected(links, "groups")
     least = summaries.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
