@@ -67,3 +67,35 @@ QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_document_fingerprints"] = op10_document_fingerprints
+
+# --- SQL counterparts. An operator with hashes, models or tokens of its own has none; tests compare it with plain Python.
+
+ORACLE["op2_ngram_jaccard_join"] = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, component_id FROM s JOIN c ON doc_id = a"""
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _phrase_places(phrase: str) -> str:
+    same = " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+    return f"list_filter(range(0, len(ws)), lambda i: coalesce({same}, false))"
+
+
+_AT = ", ".join(f"{_phrase_places(p)} AS at{i}" for i, p in enumerate(licenses.PHRASES))
+_EVERY = " || ".join(f"at{i}" for i in range(len(licenses.PHRASES)))
+_BASE = "list_filter([" + ", ".join(f"CASE WHEN len(at{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.PHRASES.values())) + "], lambda v: v IS NOT NULL)"
+_NOTICES = ", ".join(f"('{label}', [{', '.join(repr(w) for w in ws)}])" for label, ws in licenses.notice_words(licenses.NOTICES).items())
+ORACLE["op8_license_scan"] = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, {_WORDS}) AS ws FROM d), p AS (SELECT *, {_AT} FROM w), e AS (SELECT *, {_EVERY} AS every, list_sort({_BASE}) AS base FROM p),
+l AS (SELECT rid, row_number() OVER () AS line, list_distinct(regexp_extract_all(one, {_WORDS})) AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS one FROM d)),
+notice(label, nw) AS (VALUES {_NOTICES}),
+met AS (SELECT rid, line, label, len(list_intersect(lw, nw)) / len(nw) AS share FROM l, notice WHERE len(list_intersect(lw, nw)) >= ceil({licenses.THRESHOLD} * len(nw) - 1e-9)),
+best AS (SELECT rid, list(DISTINCT label) AS own, max(share) AS share FROM (SELECT *, max(share) OVER (PARTITION BY line) AS top FROM met) WHERE share = top GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, len(every) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word, array_to_string(base, ',') AS base_labels,
+array_to_string(list_sort(list_distinct(base || coalesce(own, []))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(every) > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM e LEFT JOIN best USING (rid)"""
