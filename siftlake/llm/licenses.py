@@ -96,11 +96,11 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
     gate = "|".join(GAP.join(p.split()) for p in phrases)
     once = F.explode(F.array(_lines(F.col("text"))))  # a generated column is computed once, however often it is used
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).rlike(gate).alias("maybe"), once.alias("lines"))
-    words = F.when(F.col("maybe"), F.flatten("lines"))
+    read = read.select("doc_id", "lines", F.explode(F.array(F.when(F.col("maybe"), F.flatten("lines")))).alias("words"))
     blocks = F.transform(
         F.filter("lines", lambda line: (F.size(line) >= least) & F.arrays_overlap(line, _texts(prefix))),
         lambda line: F.struct(F.size(F.array_distinct(line)).alias("size"), F.array_intersect(line, _texts(order)).alias("words")))
-    places = [(label, base_places(words, p)) for p, label in phrases.items()]
+    places = [(label, base_places(F.col("words"), p)) for p, label in phrases.items()]
     kept = read.select(
         "doc_id", F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.size(line)).alias("n_words"), blocks.alias("blocks"),
         *[F.coalesce(p, F.array().cast("array<int>")).alias(f"at{i}") for i, (_, p) in enumerate(places)])
