@@ -22,6 +22,8 @@ from siftlake.llm import common, textarrays as ta
 
 TABLE = 1 << 16
 SWITCH = 8.0
+#: Bytes of text whose paths are found together: each word of the longest is a step for all.
+TOGETHER = 2 << 20
 LEAST_SHARE = 0.001
 FAR = -1e4
 
@@ -81,7 +83,7 @@ class Model:
     def label(self, column: pa.Array):
         """Of each text: language number of each word, letters of each word."""
         data, offsets = ta.raw(column)
-        for lo, hi in ta.ranges(offsets):
+        for lo, hi in ta.ranges(offsets, TOGETHER):
             slot, script, begin, first = _grams(data, offsets, lo, hi)
             length = np.diff(np.append(begin, len(slot)))
             if not len(begin):
