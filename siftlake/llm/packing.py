@@ -28,9 +28,9 @@ _CUT[[9, 10, 13, 32]] = False
 
 class Encoder:
     """Ids of whole texts through the ids of their chunks between blanks and line ends, which no token spans.
-    Known chunks are looked up by hash in a table that is kept from task to task; new ones are encoded together."""
+    Known chunks are looked up by hash in a table that lives as long as the task; new ones are encoded together."""
 
-    most = 3_000_000
+    most = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -95,20 +95,11 @@ class Encoder:
                 yield ids[a:b]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches):
-        enc = encoder(path)
+        enc = Encoder(path)  # goes with the task, so that idle workers hold no table
         for b in batches:
             rows, ids_out = {"doc": [], "piece": [], "start": [], "length": [], "crc": []}, []
             for row, ids in enumerate(enc.encode(b.column(1))):
