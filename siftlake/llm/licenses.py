@@ -1,5 +1,8 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license notices.
+"""License scan: an exact set-similarity join of text blocks with license notices.
 
+Blocks are the lines, of any length, and for each notice the runs of a quarter more words than it has, over the words of the
+whole text: line ends are gaps like any other. Runs are looked for in windows of twice as many words as the longest run
+has, each half over the next, so every run is within a window.
 A block meets a notice if it has at least the threshold's share of the notice's distinct words. Words are ordered by
 the number of documents that have them, rarest first, counted over all documents. Then a block of b words can meet
 a notice of t words, a of them needed, only if b >= a (length), if the first b - a + 1 words of the one and the
@@ -48,6 +51,13 @@ def notice_words(notices: dict[str, str]) -> dict[str, list[str]]:
     return {label: sorted(set(re.findall(r"[a-z0-9]+", text.lower()))) for label, text in notices.items()}
 
 
+def spans(notices: dict[str, str]) -> dict[str, int]:
+    """The words of a run in which a notice may stand."""
+    import re
+
+    return {label: math.ceil(1.25 * len(re.findall(r"[a-z0-9]+", text.lower()))) for label, text in notices.items()}
+
+
 def needed(words: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * words - 1e-9))
 
@@ -96,17 +106,28 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
     gate = "|".join(GAP.join(p.split()) for p in phrases)
     once = F.explode(F.array(_lines(F.col("text"))))  # a generated column is computed once, however often it is used
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).rlike(gate).alias("maybe"), once.alias("lines"))
-    read = read.select("doc_id", "lines", F.explode(F.array(F.when(F.col("maybe"), F.flatten("lines")))).alias("words"))
-    blocks = F.transform(
-        F.filter("lines", lambda line: (F.size(line) >= least) & F.arrays_overlap(line, _texts(prefix))),
-        lambda line: F.struct(F.size(F.array_distinct(line)).alias("size"), F.array_intersect(line, _texts(order)).alias("words")))
+    read = read.select("doc_id", "lines", "maybe", F.explode(F.array(F.flatten("lines"))).alias("whole"))
+    read = read.select("doc_id", "lines", "whole", F.when(F.col("maybe"), F.col("whole")).alias("words"))
+    wide = spans(notices)
+    step = max(wide.values())
+    starts = lambda words: F.sequence(F.lit(0), F.greatest(F.size(words) - step, F.lit(0)), F.lit(step))
+    windows = lambda words: F.transform(starts(words), lambda k: F.struct(k.alias("at"), F.slice(words, k + 1, F.lit(2 * step)).alias("all")))
+    known = lambda words: F.transform(words, lambda w: F.when(F.array_contains(_texts(order), w), w))
+
+    def blocks(name):
+        return F.transform(
+            F.filter(name, lambda b: (F.size(b["all"]) >= least) & F.arrays_overlap(b["all"], _texts(prefix))),
+            lambda b: F.struct(F.size(F.array_distinct(b["all"])).alias("size"), F.array_intersect(b["all"], _texts(order)).alias("words"), b["at"].alias("at"), F.when(b["at"].isNotNull(), known(b["all"])).alias("run")))
+
     places = [(label, base_places(F.col("words"), p)) for p, label in phrases.items()]
+    cut = F.when(F.arrays_overlap("whole", _texts(prefix)), F.concat(F.transform("lines", lambda line: F.struct(F.lit(None).cast("int").alias("at"), line.alias("all"))), windows(F.col("whole"))))
+    read = read.select("doc_id", "words", F.size("whole").cast("long").alias("n_words"), F.explode(F.array(cut)).alias("every"))
     kept = read.select(
-        "doc_id", F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.size(line)).alias("n_words"), blocks.alias("blocks"),
+        "doc_id", "n_words", F.coalesce(blocks("every"), F.array().cast("array<struct<size int, words array<string>, at int, run array<string>>>")).alias("blocks"),
         *[F.coalesce(p, F.array().cast("array<int>")).alias(f"at{i}") for i, (_, p) in enumerate(places)])
     kept = common.written(kept.withColumn("rid", F.monotonically_increasing_id()), "license-blocks")
 
-    met = joined(kept.select("rid", F.posexplode("blocks").alias("block", "b")), order, ranked, threshold)
+    met = joined(kept.select("rid", F.posexplode("blocks").alias("block", "b")), order, ranked, wide, threshold)
     best = met.groupBy("rid", "block").agg(F.max(F.struct("share", "label")).alias("best"), F.collect_set(F.struct("share", "label")).alias("all"))
     met = best.select("rid", F.explode(F.filter("all", lambda x: x["share"] == F.col("best.share"))).alias("x")).select("rid", "x.*")
     met = met.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
@@ -120,20 +141,23 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
         F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("every") > 0, 1.0).otherwise(0.0)).alias("score"))
 
 
-def joined(blocks: DataFrame, order: list[str], ranked: dict[str, list[int]], threshold: float) -> DataFrame:
-    """Each (rid, block, label) that meets the threshold, with the share of the notice's words in the block. blocks: rid,
-    block and b with the block's size and its words that any notice has. The index has a row for each prefix word of
-    each notice, whatever the input."""
+def joined(blocks: DataFrame, order: list[str], ranked: dict[str, list[int]], wide: dict[str, int], threshold: float) -> DataFrame:
+    """Each (rid, block, label) that meets the threshold, with the share of the notice's words in the block or its best run.
+    blocks: rid, block and b with the block's size, its words that any notice has and, of a window, its place and words in
+    order. The index has a row for each prefix word of each notice, whatever the input."""
     spark = blocks.sparkSession
     index = " union all ".join(
-        f"select '{order[r]}' word, '{label}' label, {i} i, {len(rs)} t, {needed(len(rs), threshold)} a, array({', '.join(map(str, rs))}) wanted"
+        f"select '{order[r]}' word, '{label}' label, {i} i, {len(rs)} t, {needed(len(rs), threshold)} a, {wide[label]} wide, array({', '.join(map(str, rs))}) wanted, array({', '.join(repr(order[r]) for r in rs)}) own"
         for label, rs in ranked.items() for i, r in enumerate(rs[: len(rs) - needed(len(rs), threshold) + 1]))
     index = spark.sql(index)
     ranks = F.create_map(*[F.lit(x) for i, w in enumerate(order) for x in (w, i)])
-    known = blocks.select("rid", "block", F.col("b.size").alias("n"), F.array_sort(F.transform("b.words", lambda w: F.element_at(ranks, w))).alias("known"))
-    words = known.select("rid", "block", "n", "known", F.posexplode("known").alias("j", "r"))
+    known = blocks.select("rid", "block", F.col("b.size").alias("n"), "b.run", F.array_sort(F.transform("b.words", lambda w: F.element_at(ranks, w))).alias("known"))
+    words = known.select("rid", "block", "n", "run", "known", F.posexplode("known").alias("j", "r"))
     word = F.element_at(_texts(order), F.col("r") + 1)
     near = words.withColumn("word", word).join(F.broadcast(index), "word").where(
         (F.col("n") >= F.col("a")) & (F.col("j") <= F.col("n") - F.col("a")) & (F.least(F.col("t") - F.col("i"), F.size("known") - F.col("j")) >= F.col("a")))
-    share = F.size(F.array_intersect("known", "wanted")) / F.col("t")
-    return near.withColumn("share", share).where(F.size(F.array_intersect("known", "wanted")) >= F.col("a")).select("rid", "block", "label", "share")
+    met = near.withColumn("both", F.size(F.array_intersect("known", "wanted"))).where(F.col("both") >= F.col("a")).dropDuplicates(["rid", "block", "label"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("run") - 1), lambda k: F.array_contains(F.col("own"), F.get("run", k)))
+    runs = F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("run", k + 1, F.col("wide")), "own")))
+    met = met.withColumn("both", F.when(F.col("run").isNull(), F.col("both")).otherwise(F.array_max(runs))).where(F.col("both") >= F.col("a"))
+    return met.select("rid", "block", "label", (F.col("both") / F.col("t")).alias("share"))

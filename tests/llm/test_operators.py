@@ -295,6 +295,26 @@ def test_op8_join_is_exact(frame):
         assert r.score == pytest.approx(1.0 if base else max(best, default=0.0))
 
 
+WRAPPED = {
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "isc": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_op8_wrapped_notices(frame):
+    rows = [(len(WRAPPED) * n + i, "v " * n + "\n" + text + "\n" + "z " * 70) for n in (0, 7, 19, 40) for i, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(rows)).collect()}
+    for n in (0, 7, 19, 40):
+        for i, label in enumerate(WRAPPED):
+            assert got[len(WRAPPED) * n + i] == (label, 1.0)
+    apart = licenses.scan(frame([(1, "Licensed under the Apache License, Version 2.0\n" + "u " * 8 + "mit " + "u " * 8)])).first()
+    assert apart.labels == "apache-2.0"  # a word of a short notice further off isn't part of it
+    each = [(i, text.replace(" ", "\n")) for i, text in enumerate(licenses.NOTICES.values())]
+    for r in licenses.scan(frame(each)).collect():
+        assert list(licenses.NOTICES)[r.doc_id] in r.labels.split(",") and r.score == 1.0
+
+
 def test_op9(inputs):
     from tokenizers import Tokenizer
 
