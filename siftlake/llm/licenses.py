@@ -7,7 +7,8 @@ A block meets a notice if it has at least the threshold's share of the notice's
 the number of documents that have them, rarest first, counted over all documents. Then a block of b words can meet
 a notice of t words, a of them needed, only if b >= a (length), if the first b - a + 1 words of the one and the
 first t - a + 1 of the other share a word (prefix), and if enough words follow the shared one (position).
-Of the notices that a block meets, those with the greatest share give the block's labels.
+Every notice that is met gives its label, unless a better one explains it: one of greater share that has at least the
+threshold's share of the words met, in a line the same words, in a run those at the same places.
 Blocks without any notice's prefix word are dropped while the text is read; what is left is joined by word.
 
 Null texts count as empty. Repeated rows give repeated results; ties of frequency are broken by the word. An empty
@@ -128,8 +129,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
     kept = common.written(kept.withColumn("rid", F.monotonically_increasing_id()), "license-blocks")
 
     met = joined(kept.select("rid", F.posexplode("blocks").alias("block", "b")), order, ranked, wide, threshold)
-    best = met.groupBy("rid", "block").agg(F.max(F.struct("share", "label")).alias("best"), F.collect_set(F.struct("share", "label")).alias("all"))
-    met = best.select("rid", F.explode(F.filter("all", lambda x: x["share"] == F.col("best.share"))).alias("x")).select("rid", "x.*")
+    met = unexplained(met, step, threshold)
     met = met.groupBy("rid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
     every = F.concat(*[F.col(f"at{i}") for i in range(len(places))])
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(places)]))))
@@ -142,7 +142,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[str,
 
 
 def joined(blocks: DataFrame, order: list[str], ranked: dict[str, list[int]], wide: dict[str, int], threshold: float) -> DataFrame:
-    """Each (rid, block, label) that meets the threshold, with the share of the notice's words in the block or its best run.
+    """Each (rid, block, label) that meets the threshold, with share, the share of the notice's words in the block, and found:
+    these words' ranks or, of a window, their places in the text. Of a window there is a row for each run that meets it.
     blocks: rid, block and b with the block's size, its words that any notice has and, of a window, its place and words in
     order. The index has a row for each prefix word of each notice, whatever the input."""
     spark = blocks.sparkSession
@@ -151,13 +152,33 @@ def joined(blocks: DataFrame, order: list[str], ranked: dict[str, list[int]], wi
         for label, rs in ranked.items() for i, r in enumerate(rs[: len(rs) - needed(len(rs), threshold) + 1]))
     index = spark.sql(index)
     ranks = F.create_map(*[F.lit(x) for i, w in enumerate(order) for x in (w, i)])
-    known = blocks.select("rid", "block", F.col("b.size").alias("n"), "b.run", F.array_sort(F.transform("b.words", lambda w: F.element_at(ranks, w))).alias("known"))
-    words = known.select("rid", "block", "n", "run", "known", F.posexplode("known").alias("j", "r"))
+    known = blocks.select("rid", "block", F.col("b.size").alias("n"), "b.at", "b.run", F.array_sort(F.transform("b.words", lambda w: F.element_at(ranks, w))).alias("known"))
+    words = known.select("rid", "block", "n", "at", "run", "known", F.posexplode("known").alias("j", "r"))
     word = F.element_at(_texts(order), F.col("r") + 1)
     near = words.withColumn("word", word).join(F.broadcast(index), "word").where(
         (F.col("n") >= F.col("a")) & (F.col("j") <= F.col("n") - F.col("a")) & (F.least(F.col("t") - F.col("i"), F.size("known") - F.col("j")) >= F.col("a")))
-    met = near.withColumn("both", F.size(F.array_intersect("known", "wanted"))).where(F.col("both") >= F.col("a")).dropDuplicates(["rid", "block", "label"])
-    starts = F.filter(F.sequence(F.lit(0), F.size("run") - 1), lambda k: F.array_contains(F.col("own"), F.get("run", k)))
-    runs = F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("run", k + 1, F.col("wide")), "own")))
-    met = met.withColumn("both", F.when(F.col("run").isNull(), F.col("both")).otherwise(F.array_max(runs))).where(F.col("both") >= F.col("a"))
-    return met.select("rid", "block", "label", (F.col("both") / F.col("t")).alias("share"))
+    met = near.where(F.size(F.array_intersect("known", "wanted")) >= F.col("a")).dropDuplicates(["rid", "block", "label"])
+    step = max(wide.values())
+    # A run begins at a word of the notice that it doesn't have again. One from the window's second half is the next window's.
+    begins = lambda k: (F.size("run") < 2 * step) | (k < step)
+    starts = F.filter(F.sequence(F.lit(0), F.size("run") - 1), lambda k: begins(k) & F.array_contains(F.col("own"), F.get("run", k)) & ~F.coalesce(F.array_contains(F.slice("run", k + 2, F.col("wide") - 1), F.get("run", k)), F.lit(False)))
+    runs = F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice("run", k + 1, F.col("wide")).alias("run")))
+    runs = F.transform(runs, lambda x: F.struct(x["k"].alias("k"), x["run"].alias("run"), F.array_intersect(x["run"], F.col("own")).alias("found")))
+    places = lambda x: F.array_sort(F.transform(x["found"], lambda w: (F.col("at") + x["k"] + F.array_position(x["run"], w) - 1).cast("int")))
+    runs = F.transform(F.filter(runs, lambda x: F.size(x["found"]) >= F.col("a")), places)
+    whole = F.array(F.array_intersect("known", "wanted"))
+    met = met.select("rid", "block", "label", "t", F.col("run").isNull().alias("line"), F.explode(F.when(F.col("run").isNull(), whole).otherwise(runs)).alias("found"))
+    return met.select("rid", "block", "line", "label", (F.size("found") / F.col("t")).alias("share"), "found")
+
+
+def unexplained(met: DataFrame, step: int, threshold: float) -> DataFrame:
+    """(rid, label, share) of joined's rows without those that a better one explains. Runs are compared by stretches of `step`
+    words of the text; one that lies in two is compared in both."""
+    stretch = lambda place: F.floor(place / step).cast("int")
+    places = F.when(F.col("line"), F.array("block")).otherwise(F.sequence(stretch(F.array_min("found")), stretch(F.array_max("found"))))
+    rows = met.select("rid", "line", F.explode(places).alias("place"), F.struct("label", "share", "found").alias("x"))
+    group = rows.groupBy("rid", "line", "place").agg(F.collect_set("x").alias("all"))
+    better = lambda x, y: (y["share"] > x["share"]) & (F.size(F.array_intersect(x["found"], y["found"])) >= threshold * F.size(x["found"]) - 1e-9)
+    judged = F.transform("all", lambda x: F.struct(x.alias("x"), F.exists("all", lambda y: better(x, y)).alias("explained")))
+    judged = group.select("rid", "line", F.when(F.col("line"), F.col("place")).alias("block"), F.explode(judged).alias("j")).select("rid", "line", "block", "j.*")
+    return judged.groupBy("rid", "line", "block", "x").agg(F.max("explained").alias("explained")).where(~F.col("explained")).select("rid", "x.label", "x.share")

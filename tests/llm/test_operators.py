@@ -315,6 +315,18 @@ def test_op8_wrapped_notices(frame):
         assert list(licenses.NOTICES)[r.doc_id] in r.labels.split(",") and r.score == 1.0
 
 
+def test_op8_notices_beside_each_other(frame):
+    apache, bsd, lgpl, agpl = (licenses.NOTICES[k] for k in ("apache-2.0", "bsd-3-clause", "lgpl-3.0", "agpl-3.0"))
+    bsd, lgpl = bsd.replace("modification, ", ""), lgpl.replace("Lesser ", "")
+    cases = [
+        (f"{apache}. {bsd}.", "apache-2.0,bsd-3-clause"), (f"{apache}\n{bsd}", "apache-2.0,bsd-3-clause"), (agpl, "agpl-3.0,gpl"),
+        (f"{agpl}. {apache}.", "agpl-3.0,apache-2.0,gpl"), (f"{agpl}. {agpl}.", "agpl-3.0,gpl"), (f"{agpl}. {lgpl}.", "agpl-3.0,gpl,lgpl-3.0"),
+    ]
+    rows = [(100 * n + i, "q " * n + text + " q" * 60) for n in (0, 5, 11, 14, 18, 22, 30) for i, (text, _) in enumerate(cases)]
+    for r in licenses.scan(frame(rows)).collect():
+        assert (r.labels, r.score) == (cases[r.doc_id % 100][1], 1.0), r.doc_id
+
+
 def test_op9(inputs):
     from tokenizers import Tokenizer
 
