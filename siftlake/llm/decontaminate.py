@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash over windows of an item's size.
 
 Words are runs of letters and digits (ASCII ones and all bytes beyond ASCII), A-Z lower-cased. A text's features are its
-five-word shingles; a shingle weighs 1 / (number of benchmark items that have it), one that no item has weighs 1. For each
-item length, windows of as many words get a 64-bit SimHash. The hash is read as eight blocks of eight bits: two hashes
+five-word shingles; a shingle weighs 1 / (number of different benchmark texts that have it). Compared with an item, one that
+the item doesn't have weighs at most the mean of the item's shingles, so that neither repeated items nor templates lower a
+near copy's similarity. For each item length, windows of as many words get a 64-bit SimHash, in which shingles that no item
+has weigh that mean, rounded down to a power of STEP. The hash is read as eight blocks of eight bits: two hashes
 within RADIUS differ in at most RADIUS // 8 bits of some block, so looking up all near values of each block finds every
 item within the radius. For those the weighted Jaccard similarity of window and item decides.
 A window without any of an item's shingles can't be similar to it, so only windows around such shingles are hashed.
@@ -25,6 +27,8 @@ from siftlake.llm import textarrays as ta
 
 LEAST = 0.8
 RADIUS = 23
+#: Items whose mean weights round down to the same power share the hashes of windows.
+STEP = 0.8
 #: Bytes of benchmark text that a task holds at once; a larger benchmark takes more passes.
 SLICE_BYTES = 8 << 20
 BLOCKS = 8
@@ -60,12 +64,14 @@ class Index:
         self.weights = weights
         self.bags = [Counter(h.tolist()) for _, _, h in items]
         self.totals = np.array([sum(weights[x] * n for x, n in bag.items()) for bag in self.bags])
+        self.means = self.totals / np.maximum(1, [len(h) for _, _, h in items])
+        self.levels = np.floor(np.log(np.maximum(self.means, 1e-9)) / np.log(STEP) * -1 - 1e-9).astype(np.int64)
         self.known = np.sort(np.array(list(weights), np.uint64))
         self.known_weights = np.array([weights[x] for x in self.known.tolist()])
-        self.sizes_of: dict[int, set[int]] = {}
-        for n, bag in zip(self.words.tolist(), self.bags, strict=True):
+        self.sizes_of: dict[int, set[tuple[int, int]]] = {}
+        for n, level, bag in zip(self.words.tolist(), self.levels.tolist(), self.bags, strict=True):
             for x in bag:
-                self.sizes_of.setdefault(x, set()).add(n)
+                self.sizes_of.setdefault(x, set()).add((n, level))
         prints = [packed((signs(h) * self.weigh(h)[:, None]).sum(axis=0)[None, :])[0] for _, _, h in items]
         self.prints = np.array(prints, np.uint64)
         rows = -(-max(1, len(items)) // 64)
@@ -98,37 +104,37 @@ class Index:
     def search(self, n: int, h: np.ndarray, hits: np.ndarray, least: float) -> dict[int, tuple[float, int, int, int]]:
         """Of a document of n words and shingles h: item -> (similarity, -first word, words, distance) of its best window."""
         best: dict[int, tuple[float, int, int, int]] = {}
-        weights = self.weigh(h)
-        wanted: dict[int, list[int]] = {}
+        known, weights = self.has(h), self.weigh(h)
+        wanted: dict[tuple[int, int], list[int]] = {}
         for at in hits.tolist():
             for size in self.sizes_of[int(h[at])]:
                 wanted.setdefault(size, []).append(at)
-        for size, places in wanted.items():
+        for (size, level), places in wanted.items():
             width = max(1, min(size, n) - ta.SHINGLE + 1)  # shingles in a window
             reach = np.zeros(len(h) - width + 2, np.int64)
             np.add.at(reach, np.maximum(np.array(places) - width + 1, 0), 1)
             np.add.at(reach, np.minimum(np.array(places), len(h) - width) + 1, -1)
             start = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
             for s in range(0, len(start), 4096):
-                self._windows(start[s : s + 4096], width, min(size, n), h, weights, least, best)
+                self._windows(start[s : s + 4096], width, min(size, n), h, np.where(known, weights, STEP**level), weights, level, least, best)
         return best
 
-    def _windows(self, start, width, words, h, weights, least, best) -> None:
+    def _windows(self, start, width, words, h, hashed, weights, level, least, best) -> None:
         lo, hi = int(start[0]), int(start[-1]) + width
         own = h[lo:hi]
         sums = np.zeros((len(own) + 1, 64))
-        np.cumsum(signs(own) * weights[lo:hi, None], axis=0, out=sums[1:])
+        np.cumsum(signs(own) * hashed[lo:hi, None], axis=0, out=sums[1:])
         total = np.concatenate([[0], np.cumsum(weights[lo:hi])])
         a = start - lo
         prints = packed(np.round(sums[a + width] - sums[a], 9))
         whole = total[a + width] - total[a]
         for w, i in zip(*self.within(prints), strict=True):
-            most = min(whole[w], self.totals[i])
-            if most < (least - 1e-9) * max(whole[w], self.totals[i]):
+            if self.levels[i] != level or whole[w] < (least - 1e-9) * self.totals[i]:
                 continue
             bag, item = Counter(h[start[w] : start[w] + width].tolist()), self.bags[i]
             both = sum(self.weights[x] * min(n, bag[x]) for x, n in item.items() if x in bag)
-            share = both / (whole[w] + self.totals[i] - both)
+            window = sum(n * (self.weights[x] if x in item else min(self.weights.get(x, 1.0), self.means[i])) for x, n in bag.items())
+            share = both / (window + self.totals[i] - both)
             if share >= least - 1e-9:
                 found = (round(float(share), 6), -int(start[w]), words, int(np.bitwise_count(prints[w] ^ self.prints[i])))
                 best[int(i)] = max(best.get(int(i), found), found)
@@ -146,7 +152,7 @@ def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES):
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-size // slice_bytes))
     items = texts.mapInArrow(run, "item_id long, n long, h array<long>").withColumn("slice", F.pmod(F.xxhash64("h", "item_id"), F.lit(slices)))
-    counts = items.select(F.explode(F.array_distinct("h")).alias("x")).groupBy("x").agg(F.count("*").alias("items"))
+    counts = items.select("h").distinct().select(F.explode(F.array_distinct("h")).alias("x")).groupBy("x").agg(F.count("*").alias("items"))
     for k in range(slices):
         own = items.where(F.col("slice") == k)
         got = own.orderBy("item_id", "n").toArrow()

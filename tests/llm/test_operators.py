@@ -53,6 +53,24 @@ def test_op1(spark, inputs, sf):
     assert decontaminate.matches(inputs[0][0], empty).count() == 0 and decontaminate.clean(inputs[0][0], empty).count() == inputs[0][0].count()
 
 
+@pytest.mark.parametrize("times", [1, 2, 10])
+def test_op1_near_copies_of_repeated_items(spark, frame, times):
+    rng = np.random.default_rng(21)
+    words = [str(w) for w in rng.permutation([f"t{i}" for i in range(900)])]
+    item, near = words[:100], words[:100]
+    near[30], near[70] = "changed", "too"
+    template = [words[100:160] + words[200 + 40 * k : 240 + 40 * k] for k in range(times)]
+    like = list(template[0])
+    like[30], like[97] = "changed", "too"
+    rows = [(1, " ".join(words[600:700] + near + words[700:800])), (2, " ".join(words[800:850] + like + words[850:900])), (3, " ".join(words[600:900]))]
+    items = [(i, " ".join(item).upper() if i % 2 else " ".join(item)) for i in range(times)] + [(100 + k, " ".join(t)) for k, t in enumerate(template)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(frame(rows), bench).collect()}
+    assert {i: s for (d, i), s in got.items() if d == 1} == pytest.approx({i: 86 / 106 for i in range(times)}, abs=1e-6)
+    assert (2, 100) in got and not [d for d, _ in got if d == 3]
+    assert [r.doc_id for r in decontaminate.clean(frame(rows), bench).collect()] == [3]
+
+
 def test_op1_slices(spark, inputs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert len(list(decontaminate.indexes(bench, slice_bytes=1000))) > 1
