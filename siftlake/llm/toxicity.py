@@ -2,14 +2,15 @@
 ordinary text.
 
 Dictionaries are trained on words of labelled documents: the toxic one on words at least LIFT times as frequent (by
-documents) in toxic ones and found in LEAST_SHARE of them, the other one on the words of ordinary documents, frequent ones apart. The
+documents) in toxic ones and found in LEAST_SHARE of them, without any on rarer such words in at least three documents, and
+without those on all words more frequent in toxic ones; the other one on the words of ordinary documents, frequent ones apart. The
 toxic dictionary is followed by the ordinary one, so that ordinary text compresses alike with both. Each window of WINDOW
 words, half of it overlapping the next, is compressed with both; how many windows reach each gain, the greatest gain and
 the number of windows are calibrated on the labels by logistic regression.
 
 Training uses at most MOST_DOCS labelled documents of each class, those with the least hashes of doc_id, and of them
 texts up to MOST_CHARS. Scoring reads every window of every text. Null and empty texts have no window and get the
-score of that. Null labels train nothing. If a class lacks labels or no word is telling, every score is the share of toxic
+score of that. Null labels train nothing. If a class lacks labels or no word is more frequent in toxic documents, every score is the share of toxic
 labels (0.5 without any). Equal texts get equal scores.
 """
 
@@ -65,7 +66,10 @@ class Dictionaries:
             for t in dict.fromkeys(texts):
                 counts.update(set(words(t)))
         n_bad, n_good = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-        telling = {w: n for w, n in bad.items() if n >= max(3, LEAST_SHARE * n_bad) and good[w] / n_good * LIFT <= n / n_bad}
+        for least, lift in ((max(3, LEAST_SHARE * n_bad), LIFT), (3, LIFT), (1, 1)):
+            telling = {w: n for w, n in bad.items() if n >= least and good[w] / n_good * lift <= n / n_bad and good[w] / n_good < n / n_bad}
+            if telling:
+                break
         self.telling = len(telling)
         by_count = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))]
         plain = {w: good[w] for w in by_count[200:4000]}

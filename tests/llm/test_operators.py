@@ -238,6 +238,17 @@ def test_op6(spark, inputs):
     assert toxicity.scored(odd, labels.limit(0)).count() == len(given) and toxicity.scored(inputs[2][0], labels).count() == 0
 
 
+def test_op6_learns_from_rare_words(spark, frame):
+    rng = np.random.default_rng(6)
+    prose, bad = [f"plain{i}" for i in range(300)], ["zq" + "".join(rng.choice(list("bcdfghjk"), 6)) for _ in range(80)]
+    rows = [(i, " ".join([*rng.choice(prose, 20), *([bad[i // 2 % 80]] if i % 2 else []), *rng.choice(prose, 20)])) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(800)], "doc_id long, quality int, toxic int")
+    d = toxicity.Dictionaries([t for i, t in rows if i % 2], [t for i, t in rows if not i % 2])
+    assert d.contents and d.telling > 0
+    got = [r for r in toxicity.scored(frame(rows), labels).collect() if r.held_out]
+    assert np.mean([r.score for r in got if r.doc_id % 2]) > np.mean([r.score for r in got if not r.doc_id % 2]) + 0.1
+
+
 def test_op6_windows_cover_every_word():
     t = " ".join(f"w{i}" for i in range(23))
     seen = {w for x in toxicity.windows(t) for w in x.decode().split()}
