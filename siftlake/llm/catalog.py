@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, kdtree, language, licenses, packing, quality, signature_tree, sketches, suffixes, toxicity
+from siftlake.llm import decontaminate, kdtree, language, licenses, negatives, packing, quality, signature_tree, sketches, suffixes, topk, toxicity
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -57,6 +57,15 @@ def op10_document_fingerprints(spark, sf_dir):
     return sketches.edits(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 QUERIES["op3_kd_tree_shards"] = op3_kd_tree_shards
@@ -67,6 +76,8 @@ QUERIES["op7_suffix_array_dedup"] = op7_suffix_array_dedup
 QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_document_fingerprints"] = op10_document_fingerprints
+QUERIES["op11_exact_top_k"] = op11_exact_top_k
+QUERIES["op13_hard_negatives"] = op13_hard_negatives
 
 # --- SQL counterparts. An operator with hashes, models or tokens of its own has none; tests compare it with plain Python.
 
@@ -99,3 +110,22 @@ best AS (SELECT rid, list(DISTINCT label) AS own, max(share) AS share FROM (SELE
 SELECT doc_id, len(ws) AS n_words, len(every) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word, array_to_string(base, ',') AS base_labels,
 array_to_string(list_sort(list_distinct(base || coalesce(own, []))), ',') AS labels, greatest(coalesce(share, 0.0), CASE WHEN len(every) > 0 THEN 1.0 ELSE 0.0 END) AS score
 FROM e LEFT JOIN best USING (rid)"""
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOT = "list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i]))"
+
+
+def _whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v"
+
+
+ORACLE["op11_exact_top_k"] = f"""WITH e AS (SELECT row_number() OVER () AS rid, vec_id, {_whole(topk.SCALE)} FROM embeddings WHERE {_SOUND}),
+s AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id, CAST(coalesce({_DOT}, 0) AS BIGINT) AS score FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+ORACLE["op13_hard_negatives"] = f"""WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_whole(negatives.SCALE)}
+FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(coalesce({_DOT}, 0) AS BIGINT) AS score FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 50 = 0),
+p AS (SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS pos FROM s WHERE same QUALIFY pos <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.rid, pos ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.rid = s.rid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""

@@ -12,17 +12,19 @@ from siftlake.session import checkpoint_dir
 
 #: 64-bit words of a key filter: 8 MB, whatever the input.
 FILTER_WORDS = 1 << 20
+#: Stands for a null id in arrays and sorts after all others.
+NO_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: a lost executor doesn't cost the steps before."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows as a table in the shared folder: a lost executor doesn't cost the steps before. Options are the writer's."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/siftlake-llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
