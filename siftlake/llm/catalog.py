@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, kdtree, language, licenses, negatives, packing, quality, signature_tree, sketches, suffixes, topk, toxicity
+from siftlake.llm import collocations, decontaminate, kdtree, language, licenses, negatives, packing, quality, signature_tree, sketches, suffixes, topk, toxicity
 from siftlake.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -61,6 +61,11 @@ def op11_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_phrase_collocations(spark, sf_dir):
+    got = collocations.collocations(table(spark, sf_dir, "documents"))
+    return got.withColumn("rank", F.col("rank").cast("long"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
@@ -77,6 +82,7 @@ QUERIES["op8_license_scan"] = op8_license_scan
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_document_fingerprints"] = op10_document_fingerprints
 QUERIES["op11_exact_top_k"] = op11_exact_top_k
+QUERIES["op12_phrase_collocations"] = op12_phrase_collocations
 QUERIES["op13_hard_negatives"] = op13_hard_negatives
 
 # --- SQL counterparts. An operator with hashes, models or tokens of its own has none; tests compare it with plain Python.
@@ -129,3 +135,17 @@ s AS (SELECT a.rid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
 p AS (SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS pos FROM s WHERE same QUALIFY pos <= 5)
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.rid, pos ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON p.rid = s.rid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+ORACLE["op12_phrase_collocations"] = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS w FROM p, (VALUES (1), (2), (3)) AS s(k)),
+f AS (SELECT lang, k, w, array_to_string(w, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, k, w),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, w, phrase, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.w, a, cut, unnest([array_to_string(c.w[1:cut], ' ')]) AS h, array_to_string(c.w[cut + 1:c.k], ' ') AS t FROM c, (VALUES (1), (2)) AS s(cut) WHERE cut < c.k),
+s AS (SELECT x.lang, x.k, x.phrase, x.w, a, cut, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.h JOIN f r ON r.lang = x.lang AND r.phrase = x.t),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) AS q(i) WHERE k = 3 GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON k = 2 AND o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000"""
