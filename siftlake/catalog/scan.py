@@ -8,7 +8,7 @@ from siftlake.catalog import fixtures as fx
 from siftlake.catalog.files import ALL_SQL, CLASSIFY, EXT, both, q
 from siftlake.catalog.fixtures import sql
 from siftlake.functions import identity as idn, severity as sv
-from siftlake.functions.paths import extension, scope_glob_regex
+from siftlake.functions.paths import extension
 from siftlake.operators import classify as cl, comments as cm, match as mt, rules as rl, scope as sc
 from siftlake.operators import severity as sev, taint as tt
 from siftlake.sources import files as src
@@ -654,9 +654,10 @@ register(
 
 
 def _scope_glob(s, d):
-    files = both(s, d)
-    cols = [F.count_if(F.rlike(F.col("path"), scope_glob_regex(F.lit(r[1])))).alias(r[0]) for r in SCOPE_ROWS]
-    return files.groupBy("repo_id").agg(*cols)
+    files = both(s, d).select("repo_id", "path")
+    names = [r[0] for r in SCOPE_ROWS]
+    hits = sc.pattern_hits(files, scope_entries(s)).groupBy("repo_id").pivot("entry", names).agg(F.count(F.lit(1)))
+    return files.select("repo_id").distinct().join(hits, "repo_id", "left").na.fill(0, names)
 
 
 register(

@@ -24,28 +24,6 @@ def slashed(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
-def _escape_specials(pattern: Column) -> Column:
-    return F.regexp_replace(pattern, r"([.+^${}()|\[\]\\])", r"\\$1")
-
-
-def scope_glob_regex(pattern: Column) -> Column:
-    """Anchored regex of a scope pattern.
-
-    Trailing slash: directory prefix. With wildcards: `**` crosses directories, `*` and `?` stay
-    inside one segment. Otherwise the exact path or a directory prefix.
-    """
-    norm = F.regexp_replace(slashed(pattern), r"/$", "")
-    quoted = _escape_specials(norm)
-    has_wild = norm.contains("*") | norm.contains("?")
-    marked = F.replace(quoted, F.lit("**"), F.lit("\u0001"))
-    one_seg = F.replace(F.replace(marked, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
-    glob = F.replace(one_seg, F.lit("\u0001"), F.lit(".*"))
-    as_prefix = F.regexp_replace(quoted, r"([*?])", r"\\$1")
-    return F.when(has_wild & ~pattern.endswith("/"), F.concat(F.lit("^"), glob, F.lit(r"\z"))).otherwise(
-        F.concat(F.lit("^"), as_prefix, F.lit(r"(?:\z|/)"))
-    )
-
-
 def name_glob_regex(glob: str) -> str:
     """Case-insensitive regex of a file-name glob: `**` one or more of anything, `*` and `?` in-segment."""
     out, i = [], 0

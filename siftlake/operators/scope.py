@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlake.functions.paths import scope_glob_regex, slashed
+from siftlake.functions.paths import slashed
+from siftlake.operators.path_index import SCOPE_KINDS, covers_whole, met, scope_index
 
 REQUIRED = ["reason", "added_by", "added_at"]
 
@@ -21,38 +22,36 @@ def load_scope(global_: DataFrame, repo: DataFrame, server: DataFrame | None = N
     return out
 
 
-def _patterns_by_repo(entries: DataFrame) -> DataFrame:
-    """(repo_id, _patterns array): one row per repository; repo_id null means every repository."""
-    return (
-        entries.where(F.col("pattern").isNotNull())
-        .groupBy("repo_id")
-        .agg(F.collect_list(F.struct(F.col("pattern"), scope_glob_regex(F.col("pattern")).alias("regex"))).alias("_p"))
-    )
-
-
 def match_scope(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """Add `excluded_by`: the first pattern that covers the path, or null.
+    """Add `excluded_by`: the first pattern that covers the path, or null; patterns of every repository come first.
 
-    Patterns are configuration of a repository and become one array per repository, so the join yields
-    one row per file and never a file x pattern product.
+    Paths and patterns meet by the keys of the pattern index, on paths alone; texts are read for the join back.
     """
-    grouped = _patterns_by_repo(entries)
-    everyone = grouped.where(F.col("repo_id").isNull()).select(F.col("_p").alias("_all"))
-    own = grouped.where(F.col("repo_id").isNotNull()).select("repo_id", F.col("_p").alias("_own"))
-    none = F.array().cast("array<struct<pattern:string,regex:string>>")
-    out = files.join(F.broadcast(everyone), F.lit(True), "left").join(own, "repo_id", "left")
-    first = F.get(
-        F.filter(
-            F.concat(F.coalesce("_all", none), F.coalesce("_own", none)),
-            lambda e: F.rlike(slashed(F.col("path")), e["regex"]),
-        ),
-        F.lit(0),
-    )
-    return out.withColumn("excluded_by", first["pattern"]).drop("_all", "_own")
+    out = files.join(covered_by(files, entries), _same_file(files, "_repo", "_path"), "left")
+    return out.select(*files.columns, "excluded_by")
+
+
+def covered_by(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(_repo, _path, excluded_by) of the files that a pattern covers."""
+    entries = entries.select("repo_id", "pattern", F.struct(F.col("repo_id").isNotNull().alias("own"), F.monotonically_increasing_id().alias("at")).alias("_order"))
+    first = pattern_hits(files, entries).groupBy("repo_id", "path").agg(F.min_by("pattern", "_order").alias("excluded_by"))
+    return first.select(F.col("repo_id").alias("_repo"), F.col("path").alias("_path"), "excluded_by")
+
+
+def pattern_hits(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(repo_id, path, further columns of the entry) for every pattern that covers a path."""
+    index = scope_index(entries.where(F.coalesce("pattern", F.lit("")) != ""))
+    paths = files.select("repo_id", "path").where(F.col("path").isNotNull())
+    path = slashed(F.col("path"))
+    return met(paths, index, "repo_id", SCOPE_KINDS, path).where(covers_whole(path)).drop("_key", "_tokens", "_literal")
+
+
+def _same_file(files: DataFrame, repo: str, path: str) -> Column:
+    return files["repo_id"].eqNullSafe(F.col(repo)) & (files["path"] == F.col(path))
 
 
 def exclude_files(files: DataFrame, entries: DataFrame) -> DataFrame:
-    return match_scope(files, entries).where(F.col("excluded_by").isNull()).drop("excluded_by")
+    return files.join(covered_by(files, entries), _same_file(files, "_repo", "_path"), "left_anti")
 
 
 def excluded_counts(files: DataFrame, entries: DataFrame) -> DataFrame:
@@ -68,25 +67,18 @@ def excluded_counts(files: DataFrame, entries: DataFrame) -> DataFrame:
 def flag_rule_excludes(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """Add boolean `scope_excluded`; entries(rule_id, globs array or null = every file).
 
-    The globs of a rule become one array per rule, joined on the rule. Both sides of a hot rule are
-    handled by AQE: the small side is one row per rule.
+    Distinct (rule, path) pairs meet the globs of their rule by the keys of the pattern index.
     """
-    per_rule = (
-        entries.where(F.col("rule_id").isNotNull())
-        .groupBy("rule_id")
-        .agg(
-            F.max(F.coalesce(F.size("globs"), F.lit(0)) <= 0).alias("_every"),
-            F.flatten(
-                F.collect_list(
-                    F.transform(F.coalesce("globs", F.array().cast("array<string>")), scope_glob_regex)
-                )
-            ).alias("_globs"),
-        )
-    )
-    hit: Column = F.coalesce(
-        F.col("_every") | F.exists("_globs", lambda g: F.rlike(slashed(F.col("path")), g)), F.lit(False)
-    )
-    return findings.join(per_rule, "rule_id", "left").withColumn("scope_excluded", hit).drop("_every", "_globs")
+    named = entries.where(F.col("rule_id").isNotNull())
+    listed = F.coalesce(F.size("globs"), F.lit(0)) > 0
+    every = named.where(~listed).select("rule_id").distinct().withColumn("_every", F.lit(True))
+    index = scope_index(named.where(listed).select("rule_id", F.explode("globs").alias("pattern")).where("pattern <> ''").distinct())
+    pairs = findings.select("rule_id", "path").distinct()
+    path = slashed(F.col("path"))
+    hit = met(pairs, index, "rule_id", SCOPE_KINDS, path).where(covers_whole(path)).select("rule_id", "path", F.lit(True).alias("_hit")).distinct()
+    out = findings.join(every, "rule_id", "left").join(hit, ["rule_id", "path"], "left")
+    flag = F.coalesce(F.col("_every"), F.col("_hit"), F.lit(False))
+    return out.withColumn("scope_excluded", flag).select(*findings.columns, "scope_excluded")
 
 
 def exclude_rules(findings: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.functions.exprs import str_array
 from siftlake.functions.paths import basename, extension, name_glob_regex
+from siftlake.operators.path_index import IGNORE_KINDS, covers_entry, ignore_index, met
 
 # --- Fixed values ---
 SUPPORTED_EXTENSIONS = [
@@ -168,44 +169,33 @@ def changed_files(base: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def parse_ignore_lines(lines: DataFrame) -> DataFrame:
-    """ignore lines(repo_id, dir, dir_order, rule_order, line) -> the same with regex and negated.
+    """ignore lines(repo_id, dir, dir_order, rule_order, line) -> the same with body, anchored and negated.
 
-    The pattern is anchored by a leading slash, otherwise it may begin at any directory; it covers the
+    The body is anchored by a leading slash, otherwise it may begin at any directory; it covers the
     matched entry and everything below it.
     """
     text = F.trim("line")
     rows = lines.where((text != "") & ~text.startswith("#")).withColumn("_t", text)
     negated = F.col("_t").startswith("!")
     body = F.when(negated, F.substr(F.col("_t"), F.lit(2))).otherwise(F.col("_t"))
-    anchored = body.startswith("/")
-    body = F.regexp_replace(F.regexp_replace(body, "^/", ""), "/$", "")
-    quoted = F.regexp_replace(body, r"([.+^${}()|\[\]\\])", r"\\$1")
-    marked = F.replace(quoted, F.lit("**"), F.lit("\u0001"))
-    globbed = F.replace(F.replace(marked, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
-    regex = F.concat(
-        F.when(anchored, "^").otherwise("(?:^|/)"), F.replace(globbed, F.lit("\u0001"), F.lit(".*")),
-        F.lit(r"(?:/|\z)"),
-    )
     return rows.select(
-        "repo_id", "dir", "dir_order", "rule_order", regex.alias("regex"), negated.alias("negated")
+        "repo_id", "dir", "dir_order", "rule_order",
+        F.regexp_replace(F.regexp_replace(body, "^/", ""), "/$", "").alias("body"),
+        body.startswith("/").alias("anchored"), negated.alias("negated"),
     )
 
 
-def apply_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drop ignored files: of all lines that match a path, the last one decides.
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, path) of ignored files: of all lines that cover a path, the last one decides.
 
-    The ignore lines of a repository become one ordered array (they are configuration, a few hundred
-    lines at most), joined once per file, so no file x rule pairs are ever produced.
+    Paths and lines meet by the keys of the pattern index; the texts of the files take no part.
     """
-    ordered = rules.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("dir_order", "rule_order", "dir", "regex", "negated"))).alias("_rules")
-    )
+    index = ignore_index(rules.where(F.col("repo_id").isNotNull()))
+    hits = met(paths.select("repo_id", "path"), index, "repo_id", IGNORE_KINDS, F.col("path")).where(covers_entry(F.col("path")))
+    last = hits.groupBy("repo_id", "path").agg(F.max_by("negated", F.struct("dir_order", "rule_order", "dir", "body", "negated")).alias("_negated"))
+    return last.where(~F.col("_negated")).select("repo_id", "path")
 
-    def hits(r: Column) -> Column:
-        inside = (r["dir"] == "") | F.startswith(F.col("path"), F.concat(r["dir"], F.lit("/")))
-        rel = F.when(r["dir"] == "", F.col("path")).otherwise(F.substr(F.col("path"), F.length(r["dir"]) + 2))
-        return inside & F.rlike(rel, r["regex"])
 
-    last = F.try_element_at(F.filter("_rules", hits), F.lit(-1))
-    ignored = F.coalesce(~last["negated"], F.lit(False))
-    return files.join(ordered, "repo_id", "left").where(~ignored).drop("_rules")
+def apply_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Drop ignored files."""
+    return files.join(ignored_paths(files, rules), ["repo_id", "path"], "left_anti")
