@@ -1,8 +1,8 @@
 """Phrase collocations by SETM: sorted occurrence relations, merge-joined with themselves level by level.
 
 R1, a written table, holds the occurrences of all words, sorted by place. Its rows are runs of pieces of one language
-(some half a megabyte of text): the distinct words of the run, and for each occurrence its word and place. Places of one piece follow
-each other, between pieces one is left out, so "same piece, next position" is "next place".
+(some half a megabyte of text): the distinct words of the run, and for each occurrence its word and whether the next one
+has the next position of the same piece. As packed columns, a run is one short row to Spark.
 
 For each further length, R(k) is joined with itself on adjacent places, which is a merge of two sorted columns of one
 row and moves nothing. The joined occurrences are counted by the phrase's hash; R(k + 1), written again, keeps those of a
@@ -28,11 +28,13 @@ from siftlake.llm import common, textarrays as ta
 FREQUENT, LONGEST, COVER, TOP = 10, 3, 50, 2000
 UNKNOWN = "und"
 #: Occurrences that a task counts together before they are handed on.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
+#: Rows of a batch that a task hands on.
+BATCH = 1 << 16
 #: Parts of a language in which the first phrases are chosen before they meet.
 PARTS = 64
-RUNS = "lang string, words array<string>, times array<int>, codes array<int>, places array<int>"
-#: Row groups of a written relation; a reader holds one at a time.
+RUNS = "lang string, words string, codes binary, follows binary"
+#: Row groups of a written relation.
 GROUP_BYTES = 16 << 20
 
 _ENDS = np.zeros(256, bool)
@@ -87,8 +89,24 @@ def _buffers(column: pa.Array) -> Iterator[np.ndarray]:
             b = end
 
 
+def _row(lang: str, words: bytes, n_words: int, codes: np.ndarray, follows: np.ndarray) -> pa.RecordBatch:
+    """A run as one row: words with a blank between them, the number of each occurrence's word, a bit for each but the last."""
+    codes = codes.astype("<u2" if n_words <= 1 << 16 else "<u4")
+    return pa.RecordBatch.from_arrays([
+        pa.array([lang]), pa.array([words], pa.binary()).cast(pa.string()), pa.array([codes.tobytes()], pa.binary()), pa.array([np.packbits(follows).tobytes()], pa.binary()),
+    ], names=["lang", "words", "codes", "follows"])
+
+
+def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The spans with a blank between them."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    out = data[np.minimum(_bytes_of(starts, offsets), len(data) - 1)]
+    out[offsets[1:] - 1] = 32
+    return out[:-1].tobytes()
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """R1: for each run the language, its distinct words with their counts, and of each occurrence word and place."""
+    """R1: for each run the language, its distinct words, and of each occurrence the word and what follows."""
 
     def run(batches):
         for batch in batches:
@@ -100,34 +118,37 @@ def _runs(docs: DataFrame) -> DataFrame:
                         continue
                     first, codes = _distinct(buf, starts, ends)
                     cuts = np.cumsum(_ENDS[buf])[starts]
-                    places = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)])
-                    words = _strings(buf, starts[first], ends[first])
-                    columns = [pa.array([name]), *(_one(x) for x in (words, np.bincount(codes), codes, places))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "times", "codes", "places"])
+                    yield _row(name, _spaced(buf, starts[first], ends[first]), len(first), codes, np.diff(cuts) == 0)
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
     return texts.mapInArrow(run, RUNS)
 
 
-def _one(values) -> pa.Array:
-    """A list column of one row."""
-    values = values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32))
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
 class _Run:
-    """One row of a relation."""
+    """One row of a relation. Places of one piece follow each other, between others one is left out: "same piece, next
+    position" is "next place"."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
-        cell = lambda c: batch.column(c).slice(i, 1).flatten()
-        self.lang = batch.column("lang")[i].as_py()
-        self.words = cell("words")
-        self.codes, self.places = (cell(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("codes", "places"))
-        data, at = ta.raw(self.words)
-        part, at = data[at[0] : at[-1]], at - at[0]
-        name = np.frombuffer(self.lang.encode(), np.uint8)
-        start = ta.span_hashes(ta.prefix_sums(name), np.array([0]), np.array([len(name)]))
-        self.hashes = ta.mix(ta.span_hashes(ta.prefix_sums(part), at[:-1], at[1:]) + start * ta.STEP)
+        self.lang = batch.column(0)[i].as_py()
+        self.data = np.frombuffer(b" " + batch.column(1)[i].as_buffer().to_pybytes() + b" ", np.uint8)
+        blanks = np.flatnonzero(self.data == 32)
+        self.starts, self.ends = blanks[:-1] + 1, blanks[1:]
+        codes = batch.column(2)[i].as_buffer()
+        self.codes = np.frombuffer(codes, "<u2" if len(self.starts) <= 1 << 16 else "<u4").astype(np.int64)
+        follows = np.unpackbits(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint8), count=len(self.codes) - 1)
+        self.places = np.concatenate([[0], np.cumsum(2 - follows.astype(np.int64))])
+        self._hashes = None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            name = np.frombuffer(self.lang.encode(), np.uint8)
+            start = ta.span_hashes(ta.prefix_sums(name), np.array([0]), np.array([len(name)]))
+            self._hashes = ta.mix(ta.span_hashes(ta.prefix_sums(self.data), self.starts, self.ends) + start * ta.STEP)
+        return self._hashes
+
+    def strings(self) -> pa.Array:
+        return _strings(self.data, self.starts, self.ends)
 
     def phrases(self, starts: np.ndarray, k: int) -> np.ndarray:
         """Hashes of the k words from each start on."""
@@ -137,6 +158,44 @@ class _Run:
         return h.view(np.int64)
 
 
+def _rows(batches) -> Iterator[_Run]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _Run(batch, i)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, BATCH):
+        yield batch.slice(at, BATCH)
+
+
+def _summed(parts: list[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys as one, their `f` added up."""
+    total = pa.Table.from_batches(parts).group_by(list(keys), use_threads=False).aggregate([("f", "sum")])
+    yield from total.select([*keys, "f_sum"]).rename_columns([*keys, "f"]).to_batches(BATCH)
+
+
+def _phrase_rows(relation: DataFrame, of_run) -> DataFrame:
+    """(lang, phrase, f) rows that of_run gives for each run (phrases, counts), summed within a task first."""
+
+    def run(batches):
+        held, size = [], 0
+        for r in _rows(batches):
+            phrase, n = of_run(r)
+            if not len(n):
+                continue
+            lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([r.lang])).dictionary_decode()
+            held.append(pa.RecordBatch.from_arrays([lang, phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "f"]))
+            size += len(n)
+            if size >= COUNTED:
+                yield from _summed(held, "lang", "phrase")
+                held, size = [], 0
+        if held:
+            yield from _summed(held, "lang", "phrase")
+
+    return relation.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
 def _frequent_starts(r: _Run, k: int, bits: np.ndarray) -> np.ndarray:
     """Where the k-word phrases of R(k) begin: in a run written for k or k - 1 words, those of a frequent hash."""
     starts = _in_piece(r.places, k)
@@ -160,66 +219,60 @@ def _counted(relation: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
 
     def give(parts):
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+        yield from _slices(pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"]))
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = _Run(batch, i)
-                held.append(r.phrases(_joined(_frequent_starts(r, k, bits), r.places), k + 1))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield give(held)
-                    held, size = [], 0
+        for r in _rows(batches):
+            held.append(r.phrases(_joined(_frequent_starts(r, k, bits), r.places), k + 1))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield from give(held)
+                held, size = [], 0
         if size:
-            yield give(held)
+            yield from give(held)
 
     # summed in the tasks already: the exchange comes first, so that rows are not aggregated twice
-    return relation.select("lang", "words", "codes", "places").mapInArrow(run, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+    return relation.mapInArrow(run, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _extended(relation: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     """R(k): the occurrences that stand in a k-word phrase of a frequent hash."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = _Run(batch, i)
-                starts = _frequent_starts(r, k, bits)
-                if not len(starts):
-                    continue
-                stays = np.zeros(len(r.codes), bool)
-                for j in range(k):
-                    stays[starts + j] = True
-                used, codes, times = np.unique(r.codes[stays], return_inverse=True, return_counts=True)
-                columns = [pa.array([r.lang]), *(_one(x) for x in (r.words.take(pa.array(used)), times, codes, r.places[stays]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "times", "codes", "places"])
+        for r in _rows(batches):
+            starts = _frequent_starts(r, k, bits)
+            if not len(starts):
+                continue
+            stays = np.zeros(len(r.codes), bool)
+            for j in range(k):
+                stays[starts + j] = True
+            used, codes = np.unique(r.codes[stays], return_inverse=True)
+            yield _row(r.lang, _spaced(r.data, r.starts[used], r.ends[used]), len(used), codes, np.diff(r.places[stays]) == 1)
+
+    return relation.mapInArrow(run, RUNS)
+
 
-    return relation.select("lang", "words", "codes", "places").mapInArrow(run, RUNS)
+def _word_counts(relation: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of all words."""
+    return _phrase_rows(relation, lambda r: (r.strings(), np.bincount(r.codes)))
 
 
 def _phrase_counts(relation: DataFrame, k: int, bits: np.ndarray, least: int) -> DataFrame:
     """(lang, phrase, f) of the k-word phrases that stand `least` times or more in R(k), by the phrases themselves."""
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = _Run(batch, i)
-                starts = _frequent_starts(r, k, bits)
-                if not len(starts):
-                    continue
-                which = np.stack([r.codes[starts + j] for j in range(k)], axis=1)
-                order = np.lexsort(which.T[::-1])
-                which = which[order]
-                new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]).any(axis=1)]))
-                phrase = pc.binary_join_element_wise(*(r.words.take(pa.array(which[new, j])) for j in range(k)), " ")
-                n = np.diff(np.concatenate([new, [len(which)]]))
-                lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([r.lang])).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n)], names=["lang", "phrase", "f"])
-
-    got = relation.select("lang", "words", "codes", "places").mapInArrow(run, "lang string, phrase string, f long")
-    return got.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    def of_run(r: _Run):
+        starts = _frequent_starts(r, k, bits)
+        if not len(starts):
+            return None, starts
+        which = np.stack([r.codes[starts + j] for j in range(k)], axis=1)
+        which = which[np.lexsort(which.T[::-1])]
+        new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]).any(axis=1)]))
+        words = r.strings()
+        phrase = pc.binary_join_element_wise(*(words.take(pa.array(which[new, j])) for j in range(k)), " ")
+        return phrase, np.diff(np.concatenate([new, [len(which)]]))
+
+    return _phrase_rows(relation, of_run).where(F.col("f") >= least)
 
 
 def _hashes(phrases: DataFrame) -> DataFrame:
@@ -229,11 +282,10 @@ def _hashes(phrases: DataFrame) -> DataFrame:
         for batch in batches:
             lang = batch.column(0)
             for name in pc.unique(lang).to_pylist():
-                words = batch.column(1).filter(pc.equal(lang, name))
-                codes = pa.array([list(range(len(words)))], pa.list_(pa.int32()))
-                one = pa.RecordBatch.from_arrays([pa.array([name]), _one(words), codes, codes], names=["lang", "words", "codes", "places"])
-                r = _Run(one, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(r.phrases(np.arange(len(words)), 1))], names=["h"])
+                words = " ".join(batch.column(1).filter(pc.equal(lang, name)).to_pylist()).encode()
+                n = words.count(b" ") + 1
+                r = _Run(_row(name, words, n, np.arange(n), np.zeros(n - 1, bool)), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(r.phrases(np.arange(n), 1))], names=["h"])
 
     return phrases.select("lang", "phrase").mapInArrow(run, "h long")
 
@@ -242,8 +294,7 @@ def occurrences(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST)
     """((lang, phrase, k, f) of all phrases of up to `longest` words that stand `least` times or more, (lang, n) words)."""
     keep = {"parquet.block.size": GROUP_BYTES}
     relation = common.written(_runs(docs), "phrases-1", **keep)
-    words = relation.select("lang", F.inline(F.arrays_zip("words", "times"))).groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("times").alias("f"))
-    words = common.written(words, "phrases-words")
+    words = common.written(_word_counts(relation), "phrases-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     out = frequent.withColumn("k", F.lit(1))

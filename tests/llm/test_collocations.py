@@ -87,8 +87,17 @@ def test_words_of_one_hash_stay_apart(monkeypatch):
 
 
 def test_places_leave_a_gap_between_pieces(spark):
-    got = collocations._runs(table(spark, [("en", "a b, c\nd a")])).collect()[0]
-    assert [got.words[c] for c in got.codes] == ["a", "b", "c", "d", "a"] and got.places == [0, 1, 3, 5, 6] and sum(got.times) == 5
+    row = collocations._runs(table(spark, [("en", "a b, c\nd a")])).toArrow().combine_chunks().to_batches()[0]
+    run = collocations._Run(row, 0)
+    words = run.strings().to_pylist()
+    assert [words[c] for c in run.codes] == ["a", "b", "c", "d", "a"] and run.places.tolist() == [0, 1, 3, 5, 6]
+
+
+def test_runs_of_very_many_words():
+    words = " ".join(f"w{i}" for i in range(70_000)).encode()
+    codes = np.arange(70_000)[::-1]
+    run = collocations._Run(collocations._row("en", words, 70_000, codes, codes[1:] % 3 == 0), 0)
+    assert (run.codes == codes).all() and run.strings()[69_999].as_py() == "w69999" and (np.diff(run.places) == np.where(codes[1:] % 3 == 0, 1, 2)).all()
 
 
 def test_merge_join_of_sorted_occurrences():
