@@ -25,18 +25,18 @@ def register(key, fn, text=None):
 # Rules of the registered scans; own wording, expressible in every regex dialect in use here.
 CORPUS_RAW = [
     dict(id="SEC-TOKEN", severity="CRITICAL", pattern='token\\s*=\\s*"([0-9a-f]{32,})"', category="Sensitive Data Exposure (A02)",
-         keywords=["token"], flags="g", antipattern="placeholder|dummy",
+         flags="g", antipattern="placeholder|dummy",
          confidence_rules=[{"if_value_shorter_than": 36, "then": "LOW"}, {"if_value_not_matches": "[a-f]", "then": "MEDIUM"},
                            {"if_file_context": ["test"], "if_path_contains": ["vendor/"], "then": "LOW"}, {"default": "HIGH"}]),
     dict(id="PII-EMAIL", severity="MEDIUM", pattern="[A-Za-z0-9._]+@[A-Za-z0-9.]+", category="Sensitive Data Exposure / GDPR",
-         keywords=["@"], flags="g", antipattern="noreply|[0-9]{4}"),
+         flags="g", antipattern="noreply|[0-9]{4}"),
     dict(id="NET-IPV4", severity="EXPOSURE", pattern="[0-9]{1,3}(\\.[0-9]{1,3}){3}", category="Infrastructure Leakage",
-         keywords=["."], flags="g", confidence="MEDIUM"),
+         flags="g", confidence="MEDIUM"),
     dict(id="PII-CARD", severity="HIGH", pattern="[0-9]{16}", category="Sensitive Data Exposure / GDPR", flags="g"),
-    dict(id="LIC-LINE", severity="LOW", pattern="MIT License", category="Licence", keywords=["mit license"], flags="g"),
+    dict(id="LIC-LINE", severity="LOW", pattern="MIT License", category="Licence", flags="g"),
     dict(id="WEB-INLINE", severity="HIGH", pattern="<script>", category="Injection (A03)", file_types=["html"],
-         keywords=["<script>"], flags="g"),
-    dict(id="LONG-WORD", severity="MEDIUM", pattern="token", category="Licence", keywords=["token"], flags="gi"),
+         flags="g"),
+    dict(id="LONG-WORD", severity="MEDIUM", pattern="token", category="Licence", flags="gi"),
 ]
 CORPUS = [rl.to_rule(r, "corpus", i) for i, r in enumerate(CORPUS_RAW)]
 

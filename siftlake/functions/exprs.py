@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
@@ -38,6 +39,16 @@ def map_literal(mapping: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def constant(value, schema: str) -> Column:
+    """A constant table (lists, dicts, plain values) as one literal, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def sql_text(value: str) -> str:
+    """A text as a literal of an SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def str_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

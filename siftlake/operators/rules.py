@@ -74,7 +74,7 @@ RULE_SCHEMA = T.StructType(
         ("file_types", _AS), ("exclude_file_types", _AS), ("extensions", _AS), ("skip_for_file_types", _AS),
         ("match_mode", _S), ("taint_aware", T.BooleanType()), ("taint_extract", _S),
         ("scan_comments", T.BooleanType()), ("confidence", _S), ("confidence_rules", T.ArrayType(_CONDITION)),
-        ("keywords", _AS), ("why", _S), ("scenario", _S), ("fix", _S), ("checklist", _AS), ("service", _S),
+        ("why", _S), ("scenario", _S), ("fix", _S), ("checklist", _AS), ("service", _S),
         ("resolve_hint", _S), ("hit", _S), ("miss", _S),
     ]]
 )
@@ -163,7 +163,6 @@ class Rule:
     scan_comments: bool = False
     confidence: str | None = None
     confidence_rules: tuple = ()
-    keywords: tuple = ()
     why: str | None = None
     scenario: str | None = None
     fix: str | None = None
@@ -203,7 +202,7 @@ def to_rule(raw: dict, source: str, ord_: int) -> Rule:
         anti.append(PRESETS[raw["antipattern_preset"]])
     known = set(Rule.__dataclass_fields__) - {"source", "ord", "antipattern", "meta"}
     kept = {k: v for k, v in raw.items() if k in known and v is not None}
-    for k in ("file_types", "exclude_file_types", "extensions", "skip_for_file_types", "keywords", "checklist"):
+    for k in ("file_types", "exclude_file_types", "extensions", "skip_for_file_types", "checklist"):
         if k in kept:
             kept[k] = _as_tuple(kept[k])
     if conditions:
