@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftlake.operators.scope import flag_rule_excludes
 
 KEY = ["repo_id", "finding_id"]
+# Columns that this module knows; all others of a state are kept as they are.
+STORED = [
+    *KEY, "rule_id", "path", "line", "code_hash", "status", "severity", "base_severity", "first_seen", "last_seen", "last_scan_id", "times_seen",
+    "reopen_count", "snippet", "confidence", "branch", "is_default_branch", "resolved_at",
+]
 MUTABLE = ["snippet", "severity", "base_severity", "line"]
 DEFAULT_BRANCHES = ["main", "master", "trunk", "develop"]  # fixed values
 
@@ -121,7 +126,7 @@ def reconcile(
         pick(F.lit(branch), _old(state, "branch")).alias("branch"),
         pick(F.lit(is_default_branch), _old(state, "is_default_branch", "int")).alias("is_default_branch"),
         F.when(~sighted, o("resolved_at")).alias("resolved_at"),
-        *[o(c).alias(c) for c in state.columns if c == "extras"],
+        *[o(c).alias(c) for c in state.columns if c not in STORED],
         "transition",
     )
     return _resolve(merged, at, coverage, rules, scope_rules)

@@ -104,14 +104,17 @@ def persist(result: ScanResult, *, root: str, scan_id: str, at: str, rules: Data
     rows = one("findings").select(*cols, F.lit(False).alias("suppressed")).unionByName(
         one("suppressed").select(*cols, F.lit(True).alias("suppressed"))
     ).withColumnRenamed("off", "ord")
-    state = store.read_state(spark, f"{root}/state")
-    merged = rc.reconcile(
-        empty_state if state is None else state, rows, scan_id=scan_id, at=at, coverage=one("coverage"), rules=rules,
-        scope_rules=scope_rules, branch=branch, is_default_branch=1 if branch in rc.DEFAULT_BRANCHES else 0,
-    )
-    store.write_scan(merged, f"{root}/transitions", scan_id)
+
+    def merge(state: DataFrame | None) -> DataFrame:
+        merged = rc.reconcile(
+            empty_state if state is None else state, rows, scan_id=scan_id, at=at, coverage=one("coverage"), rules=rules,
+            scope_rules=scope_rules, branch=branch, is_default_branch=1 if branch in rc.DEFAULT_BRANCHES else 0,
+        )
+        merged.write.mode("overwrite").parquet(f"{root}/transitions/scan_id={scan_id}")
+        return rc.new_state(one("transitions"))
+
+    store.update_state(spark, f"{root}/state", merge)
     written = one("transitions")
-    store.write_state(rc.new_state(written), f"{root}/state")
     if scans is not None:
         store.append_events(audit.reconcile_events(written, scan_id, at).withColumn("ts", F.to_timestamp("ts")), f"{root}/events")
     if exceptions is not None:
