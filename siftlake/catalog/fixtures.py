@@ -71,7 +71,10 @@ def _sql_list(values) -> str:
 
 def document_files(spark: SparkSession, d: str) -> DataFrame:
     """files(repo_id, path, content) made of documents and pages."""
-    docs = table(spark, d, "documents")
+    return file_rows(table(spark, d, "documents"), table(spark, d, "pages"))
+
+
+def file_rows(docs: DataFrame, pages: DataFrame) -> DataFrame:
     doc_dir = _pick(DIRS, F.col("doc_id") % 8)
     ext = _pick(DOC_EXTS, F.floor(F.col("doc_id") / 8) % 6)
     part = docs.select(
@@ -79,7 +82,7 @@ def document_files(spark: SparkSession, d: str) -> DataFrame:
         F.concat(doc_dir, F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"),
         F.col("text").alias("content"),
     )
-    pages = table(spark, d, "pages").select(
+    pages = pages.select(
         F.lit("pages").alias("repo_id"),
         F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("content"),

@@ -12,7 +12,7 @@ from siftlake.catalog.fixtures import sql
 from siftlake.operators import reconcile as rc, rules as rl
 from siftlake.session import checkpoint_dir
 from siftlake.sources import files as src, store
-from siftlake.streaming import jobs
+from siftlake.streaming import jobs, merge as mg
 
 QUERIES, ORACLE = {}, {}
 
@@ -85,13 +85,19 @@ register("st_dedupe", _dedupe, sql("audit_events", "SELECT git_user, seq, severi
 
 
 def _late(s, d):
+    """Two deliveries: two thirds of the events, then the others, of which the old ones come late."""
     base = scratch(s, "late")
-    jobs.run_each(event_stream(s, d).where("ts < '2029-01-01'"), jobs.late_router(f"{base}/on_time", f"{base}/late", "15 days", "2024-01-31T00:00:00Z"), f"{base}/ckpt")
-    part = lambda n: s.read.parquet(f"{base}/{n}").select(F.lit(n).alias("route"), "seq")
-    return part("on_time").unionByName(part("late"))
+    events = event_stream(s, d).where("ts < '2029-01-01'")
+    for part in ("seq % 3 <> 0", "seq % 3 = 0"):
+        rows = fx.audit_events(s, d).where(part)
+        rows.select(jobs.as_instant(F.col("ts")).alias("ts"), "seq").write.mode("append").parquet(f"{base}/in")
+        stream = jobs.table_stream(s, f"{base}/in", "*.parquet", events.select("ts", "seq").schema)
+        jobs.run_each(stream, jobs.late_router(base, "15 days"), f"{base}/ckpt")
+    return jobs.routed(s, base).select(F.when(F.col("late"), "late").otherwise("on_time").alias("route"), F.col("batch").cast("long").alias("batch"), "seq")
 
 
-register("st_late", _late, sql("audit_events", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-31' - INTERVAL 15 DAYS THEN 'late' ELSE 'on_time' END AS route, seq FROM audit_events"))
+register("st_late", _late, sql("audit_events", """SELECT CASE WHEN seq % 3 = 0 AND ts < (SELECT max(ts) FROM audit_events WHERE seq % 3 <> 0) - INTERVAL 15 DAYS THEN 'late' ELSE 'on_time' END AS route,
+    CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS batch, seq FROM audit_events"""))
 
 
 def log_lines(s, d):
@@ -124,34 +130,39 @@ register("src_jsonl_tolerant", _jsonl, sql("audit_events", LOG_SQL))
 
 
 def _st_scan(s, d):
+    """Documents and pages as one stream of files."""
     docs = jobs.table_stream(s, d, "documents.parquet", fx.table(s, d, "documents").schema)
-    path = F.concat(fx._pick(fx.DIRS, F.col("doc_id") % 8), F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), fx._pick(fx.DOC_EXTS, F.floor(F.col("doc_id") / 8) % 6))
-    stream = docs.select(F.col("source").alias("repo_id"), path.alias("path"), F.col("text").alias("content"))
-    out = jobs.scan_stream(stream, sc_cat.CORPUS).select("repo_id", "path", "rule_id", "line", "off", "severity", "finding_id")
+    pages = jobs.table_stream(s, d, "pages.parquet", fx.table(s, d, "pages").schema)
+    out = jobs.scan_stream(fx.file_rows(docs, pages), sc_cat.CORPUS).select("repo_id", "path", "rule_id", "line", "off", "severity", "finding_id")
     return _run(s, "scan", out)
 
 
 register(
     "st_scan", _st_scan,
-    sql("files", "SELECT repo_id, path, rule_id, line, off, severity, finding_id FROM routed WHERE repo_id <> 'pages'", *sc_cat.FOUND_ALL, *sc_cat.DEDUP_SQL[:2]),
+    sql("files", "SELECT repo_id, path, rule_id, line, off, severity, finding_id FROM routed", *sc_cat.FOUND_ALL, *sc_cat.DEDUP_SQL[:2]),
 )
 
 
 def scan_feed(s, d):
-    rows = fx.scan_rows(s, d)
+    """Scan and coverage rows of two scans as (scan rows, coverage rows), the later scan first and once more in part."""
+    rows, cov = fx.scan_rows(s, d), fx.coverage_files(s, d)
     tag = lambda df, n: df.withColumns({"scan_id": F.lit(f"scan-{n}"), "at": F.lit(f"1999-01-0{n}T00:00:00Z")})
-    return [tag(rows.where("ord % 3 <> 0"), 1), tag(rows.where("ord % 3 <> 1"), 2)]
+    one, two = rows.where("ord % 3 <> 0"), rows.where("ord % 3 <> 1")
+    return [(tag(two, 2), tag(cov, 2)), (tag(one, 1), tag(cov, 1)), (tag(two.where("ord % 2 = 0"), 2), tag(cov, 2))]
 
 
 def _st_reconcile(s, d):
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     base = scratch(s, "recon")
-    for part in scan_feed(s, d):
-        part.write.mode("append").parquet(f"{base}/in")
-    stream = jobs.table_stream(s, f"{base}/in", "*.parquet", s.read.parquet(f"{base}/in").schema)
-    empty = fx.finding_state(s, d).where(F.lit(False))
-    kw = dict(coverage=fx.coverage_files(s, d), rules=fx.registry_rules(s, d))
-    jobs.run_each(stream, jobs.reconciler(f"{base}/state", empty, **kw), f"{base}/ckpt")
-    return store.read_state(s, f"{base}/state").select("repo_id", "finding_id", "status", "times_seen", "reopen_count", "first_seen", "last_seen")
+    rules = {r.rule_id: r.in_secrets for r in rc.eligible_rules(fx.registry_rules(s, d)).toLocalIterator()}
+    for scan, coverage in scan_feed(s, d):
+        events = mg.scan_events(scan, coverage)
+        events.write.mode("append").parquet(f"{base}/in")
+    end = events.limit(1).withColumns({"ts": F.to_timestamp(F.lit("2000-01-01T00:00:00Z")), "at_ms": F.unix_millis(F.to_timestamp(F.lit("2000-01-01T00:00:00Z"))), "path": F.lit("end"), "finding_id": F.lit(None).cast("string"), "scan_id": F.lit("end")})
+    end.write.mode("append").parquet(f"{base}/in")
+    stream = jobs.table_stream(s, f"{base}/in", "*.parquet", events.schema)
+    changes = _run(s, "recon", mg.reconciled(stream, "7 days", rules=rules))
+    return mg.current(changes).select("repo_id", "finding_id", "status", "times_seen", "reopen_count", "first_seen", "last_seen")
 
 
 ST_U = "u{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, finding_id ORDER BY ord, line) AS k FROM scan_rows WHERE NOT suppressed AND ord % 3 <> {m}) WHERE k = 1)"
@@ -168,7 +179,6 @@ register(
 
 
 def _st_expiry(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     base = scratch(s, "expiry")
     e = fx.exceptions(s, d).where("status <> 'rejected'").select("id", F.to_timestamp("created_at").alias("ts"), F.lit("pending").alias("status"), "exc_ord")
     decided = e.where("exc_ord % 2 = 0").select("id", (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts"), F.lit("approved").alias("status"))

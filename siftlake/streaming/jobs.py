@@ -7,16 +7,11 @@ without a zone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from siftlake.operators import classify, match, reconcile as rc, severity
+from siftlake.operators import classify, match, severity
 from siftlake.operators.exceptions import PENDING_DAYS
 from siftlake.operators.rules import Rule
-from siftlake.sources.store import read_state, write_state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MONDAY = "4 days"  # the epoch was a Thursday
@@ -101,86 +96,54 @@ def run_each(stream: DataFrame, handle, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def late_router(on_time: str, late: str, limit: str, as_of: str | None = None):
-    """Handler that keeps rows older than `limit` before the newest row of the batch (or as_of) apart.
+def late_router(root: str, limit: str):
+    """Handler that keeps rows apart which are older than `limit` before the newest row of all earlier batches.
 
-    Both outputs are overwritten per batch id, so a batch that is repeated after a failure counts once.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = F.to_timestamp(F.lit(as_of)) if as_of else F.lit(batch.agg(F.max("ts")).first()[0])
-        is_late = F.col("ts") < newest - F.expr(f"INTERVAL {limit}")
-        batch.where(~is_late).write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
-        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-
-    return handle
-
-
-def reconciler(state_root: str, empty: DataFrame, **kw):
-    """Handler that merges each scan of a micro-batch into the state, in scan order.
-
-    A state version is tagged with batch and scan, and a repeated batch skips what it had finished.
+    The newest time is the query's own progress: each batch leaves it as a row beside its output, under the batch's number.
+    A batch is read once, for rows and newest time alike, and is overwritten if it is repeated, so it counts once. See `routed`.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scans = sorted((r["scan_id"], r["at"]) for r in batch.select("scan_id", "at").distinct().collect())
-        for n, (scan_id, at) in enumerate(scans):
-            tag = f"b{batch_id:08d}-{n:04d}"
-            current = read_state(spark, state_root)
-            if current is not None and current.select(F.max("_version")).first()[0] is not None:
-                if current.select(F.max("_version")).first()[0] >= tag:
-                    continue
-            state = empty if current is None else current.drop("_version")
-            rows = batch.where(F.col("scan_id") == scan_id).drop("scan_id", "at")
-            merged = rc.reconcile(state, rows, scan_id=scan_id, at=at, **kw)
-            write_state(rc.new_state(merged).withColumn("_version", F.lit(tag)), state_root)
+        before = newest_before(spark, root, batch_id)
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        late = F.lit(False) if before is None else F.coalesce(F.timestamp_micros(micros) < F.timestamp_micros(F.lit(before)) - F.expr(f"INTERVAL {limit}"), F.lit(False))
+        seen = Observation()
+        marked = batch.withColumn("late", late).observe(seen, F.max(micros).alias("newest"))
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{root}/rows/batch={batch_id}")
+        newest = max((t for t in (before, seen.get["newest"]) if t is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{root}/progress/batch={batch_id}")
 
     return handle
 
 
-class PendingExpiry(StatefulProcessor):
-    """Keyed by exception: a pending one gets an event-time timer of 14 days; a decision cancels it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due long")
+def newest_before(spark: SparkSession, root: str, batch_id: int) -> int | None:
+    """Newest event time, in microseconds, of the batches before this one."""
+    if batch_id == 0:
+        return None
+    return spark.read.schema("newest long").parquet(f"{root}/progress/batch={batch_id - 1}").first()[0]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # One exception has a handful of events; within a batch they come in any order.
-        events = sorted((int(m), s) for f in rows for m, s in zip(f["millis"], f["status"]))
-        expired = []
-        for millis, status in events:
-            due = self.due.get()[0] if self.due.exists() else None
-            if status == "pending" and due is None:
-                due = millis + PENDING_DAYS * 86_400_000
-                self.due.update((due,))
-                self.handle.registerTimer(due)
-            elif status != "pending" and due is not None:
-                if millis >= due:  # the decision came after the deadline
-                    expired.append(due)
-                self.handle.deleteTimer(due)
-                self.due.clear()
-        if expired:
-            yield pd.DataFrame({"id": [key[0]] * len(expired), "expired_ms": expired})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield pd.DataFrame({"id": [key[0]], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
-
-    def close(self) -> None:
-        pass
+def routed(spark: SparkSession, root: str) -> DataFrame:
+    """All rows that a late router has kept, with `late` and `batch`."""
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    return rows.withColumn("late", F.col("late").cast("boolean"))
 
 
 def expiries(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """events(id, status, ts) -> (id, expired_ms) of exceptions left pending for 14 days.
 
-    Needs the RocksDB state store (set spark.sql.streaming.stateStore.providerClass to ROCKSDB).
+    An outer join of two streams: a pending event waits, at most for the period, for any decision of its exception; it is given
+    out once both watermarks say that none can come. A decision at or after the deadline is no decision in time.
     """
-    return (
-        events.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", delay).groupBy("id")
-        .transformWithStateInPandas(
-            statefulProcessor=PendingExpiry(), outputStructType="id string, expired_ms long",
-            outputMode="Append", timeMode="EventTime",
-        )
-    )
+    period = F.expr(f"INTERVAL {24 * PENDING_DAYS} HOURS")
+
+    def of_kind(wanted: Column) -> DataFrame:
+        # the test names the event time, so that it stays above the watermark and every event moves both watermarks on
+        return events.withWatermark("ts", delay).where(F.coalesce(F.when(F.col("ts").isNotNull(), wanted), F.lit(False)))
+
+    pending = of_kind(F.col("status") == "pending").select("id", "ts")
+    decided = of_kind(F.col("status") != "pending").select(F.col("id").alias("decided_id"), F.col("ts").alias("decided_at"))
+    in_time = (F.col("id") == F.col("decided_id")) & (F.col("decided_at") >= F.col("ts")) & (F.col("decided_at") < F.col("ts") + period)
+    left = pending.join(decided, in_time, "left_outer").where(F.col("decided_id").isNull())
+    return left.select("id", F.unix_millis(F.col("ts") + period).alias("expired_ms"))
