@@ -8,6 +8,9 @@ texts are documents of the end id alone; repeated rows are packed once each; an
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
 import zlib
 
 import numpy as np
@@ -20,42 +23,56 @@ from siftlake.llm import common, textarrays as ta
 CAPACITY = 2048
 END_ID = 0
 GROUP = 16384
-BREAK = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _CUT = np.ones(256, bool)
 _CUT[[9, 10, 13, 32]] = False
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
+
+
+def _splits_words(parts: list[dict]) -> bool:
+    """Whether a tokenizer's first step takes runs of letters and runs of marks apart, and drops blanks."""
+    first = parts[0] if parts else {}
+    pattern = (first.get("pattern") or {}).get("Regex", "").split("|")
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(pattern)
+
+
+def _steps(node: dict | None, name: str) -> list[dict]:
+    return [] if not node else node[name] if node.get("type") == "Sequence" else [node]
+
+
 class Encoder:
-    """Ids of whole texts through the ids of their chunks between blanks and line ends, which no token spans.
-    Known chunks are looked up by hash in a table that lives as long as the task; new ones are encoded together."""
+    """Ids of whole texts through the ids of their chunks, which no token spans: what lies between blanks and line ends and,
+    where the tokenizer takes them apart itself, ASCII words and the marks beside them. Known chunks are looked up by
+    hash in a table of bounded size; new ones are encoded together."""
 
-    most = 1_000_000
+    #: Bytes of the table.
+    most = 48 << 20
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.break_id = self.tokenizer.token_to_id(BREAK)
+        plan = json.loads(self.tokenizer.to_str())
+        self.apart = _splits_words(_steps(plan["pre_tokenizer"], "pretokenizers"))
+        self.marks = _MARK.copy()
+        self.marks[sorted({c for t in plan["added_tokens"] for c in t["content"].encode()})] = False  # special tokens stay whole
+        lowers = any(n["type"] == "Lowercase" for n in _steps(plan["normalizer"], "normalizers"))
+        self.same = ta._LOWER if lowers else np.arange(256, dtype=np.uint8)
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.starts, self.lengths, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        plain = [c for c in chunks if "<|" not in c]
-        ids = np.array(self.tokenizer.encode(BREAK.join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        found = np.split(ids, np.flatnonzero(ids == self.break_id)) if plain else []
-        if len(found) != len(plain):
-            raise RuntimeError("the tokenizer doesn't keep its break token")
-        found = iter([x[1:] if i else x for i, x in enumerate(found)])
-        return [next(found) if "<|" not in c else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in chunks]
-
     def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        ids = self.encode_chunks(chunks)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         lengths = np.array([len(x) for x in ids], np.int64)
         starts = len(self.pool) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.starts, self.lengths = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
 
@@ -65,22 +82,29 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
+    def _chunks(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of each chunk and the one after its last."""
+        inside = _CUT[buf]
+        begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+        if self.apart:
+            letter, mark = _LETTER[buf], self.marks[buf]
+            border = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+            begins, ends = begins | border, ends | border
+        return np.flatnonzero(begins) + 1, np.flatnonzero(ends) + 1
+
     def encode(self, column: pa.Array):
         """The ids of each text."""
         data, offsets = ta.raw(column)
         for lo, hi in ta.ranges(offsets):
             buf, first = ta.laid_out(data, offsets, lo, hi)
-            inside = _CUT[buf]
-            edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-            begin, end = edges[0::2], edges[1::2]
-            keys, back = np.unique(ta.span_hashes(ta.prefix_sums(buf), begin, end), return_inverse=True)
-            if len(self.keys) > self.most:
+            buf = self.same[buf]
+            begin, end = self._chunks(buf)
+            keys, any_of, back = np.unique(ta.span_hashes(ta.prefix_sums(buf), begin, end), return_index=True, return_inverse=True)
+            if 24 * len(self.keys) + self.pool.nbytes > self.most:
                 self.forget()
             at, known = self._places(keys)
             if not known.all():
                 new = np.flatnonzero(~known)
-                any_of = np.zeros(len(keys), np.int64)
-                any_of[back] = np.arange(len(back))
                 text = buf.tobytes()
                 spans = zip(begin[any_of[new]].tolist(), end[any_of[new]].tolist(), strict=True)
                 self.learn(keys[new], [text[b:e].decode() for b, e in spans])
@@ -95,11 +119,22 @@ class Encoder:
                 yield ids[a:b]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that its table serves all tasks there."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches):
-        enc = Encoder(path)  # goes with the task, so that idle workers hold no table
+        enc = encoder(path)
         for b in batches:
             rows, ids_out = {"doc": [], "piece": [], "start": [], "length": [], "crc": []}, []
             for row, ids in enumerate(enc.encode(b.column(1))):

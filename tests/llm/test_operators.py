@@ -382,6 +382,22 @@ def test_op9(inputs):
             assert len(at) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_op9_chunks_give_the_ids_of_whole_texts(monkeypatch):
+    """Words and marks taken apart, special tokens whole, a table that is emptied often."""
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = catalog.tokenizer_path()
+    whole, rng = Tokenizer.from_file(path), np.random.default_rng(12)
+    parts = ["Don't", "it's", "we'll", "x-y", "a.b", "(c)", "...", "?!", "é,", ",é", "1,2", "a1", "_a", "日本,", "<|", "|>", "<|endoftext|>", "A\u0301b", "end.", '"q"', " ", "\n", "\t", "'s", "s'", "I'd", "a'b,c", "~a~"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 40)))) for _ in range(400)]
+    monkeypatch.setattr(packing.Encoder, "most", 3000)
+    encoder = packing.Encoder(path)
+    assert encoder.apart
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_op9_special_strings(frame):
     path = catalog.tokenizer_path()
     from tokenizers import Tokenizer
