@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftlake.catalog import fixtures as fx
 from siftlake.catalog.fixtures import sql
 from siftlake.functions.paths import extension, norm_path
 from siftlake.operators import classify as cl
-from siftlake.sources import files as src
+from siftlake.session import checkpoint_dir
+from siftlake.sources import digests as dg, files as src
 
 QUERIES, ORACLE = {}, {}
 
@@ -105,6 +108,24 @@ register(
     sql("files", """SELECT repo_id, path FROM files f WHERE NOT contains(path, 'dist/')
     AND (length(content) % 5 = 0 OR (length(content) % 3 = 0 AND content <> 'old'))"""),
 )
+
+
+def _tree_changes(s, d):
+    """Two stored states of the same files, compared by their digest trees."""
+    base = f"{checkpoint_dir(s)}/siftlake-trees-{uuid.uuid4().hex}"
+    n = F.length("content")
+    new = fx.document_files(s, d)
+    old = new.where(n % 50 != 7).withColumn("content", F.when(n % 60 == 3, F.lit("old")).otherwise(F.col("content")))
+    dg.write_digests(old, f"{base}/old")
+    dg.write_digests(new.where(n % 70 != 5), f"{base}/new")
+    return dg.changed_paths(s, f"{base}/old", f"{base}/new")
+
+
+register(
+    "src_tree_changes", _tree_changes,
+    sql("files", """SELECT repo_id, path, CASE WHEN length(content) % 50 = 7 THEN 'new' WHEN length(content) % 70 = 5 THEN 'gone' ELSE 'changed' END AS change FROM files
+    WHERE (length(content) % 50 = 7) <> (length(content) % 70 = 5) OR (length(content) % 60 = 3 AND content <> 'old' AND length(content) % 50 <> 7 AND length(content) % 70 <> 5)"""),
+)
 IGNORE_LINES = [
     ("", 0, 0, "# comment"), ("", 0, 1, "*.log"), ("", 0, 2, "/vendor/"), ("", 0, 3, "!f8?.log"),
     ("docs", 1, 0, "f1*"), ("docs", 1, 1, "!f1?4.js"), ("", 0, 4, "**/page_1*.html"), ("", 0, 5, "dist/**/f2*.py"),

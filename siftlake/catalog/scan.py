@@ -11,6 +11,7 @@ from siftlake.functions import identity as idn, severity as sv
 from siftlake.functions.paths import extension
 from siftlake.operators import classify as cl, comments as cm, match as mt, rules as rl, scope as sc
 from siftlake.operators import severity as sev, taint as tt
+from siftlake.plans.sql import register_scan
 from siftlake.sources import files as src
 
 QUERIES, ORACLE = {}, {}
@@ -86,6 +87,18 @@ register(
 )
 
 
+def _sql_scan(s, d):
+    """The scan asked for in SQL."""
+    register_scan(s, CORPUS, "siftlake_scan")
+    src.balanced(fx.document_files(s, d)).createOrReplaceTempView("siftlake_files")
+    return s.sql("""SELECT repo_id, path, m.rule_id, m.severity, m.off, m.line, sha2(m.raw, 256) AS raw_hash, m.text, m.value
+        FROM (SELECT repo_id, path, siftlake_scan(content, path) AS matches FROM siftlake_files) LATERAL VIEW inline(matches) m""")
+
+
+SEVERITY_SQL = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN '{r.severity}'" for r in CORPUS) + " END"
+register("sql_scan", _sql_scan, sql("files", f"SELECT repo_id, path, rule_id, {SEVERITY_SQL} AS severity, off, line, sha256(raw) AS raw_hash, text, value FROM hits", HITS))
+
+
 def _anti(s, d):
     m = mt.match_table(fx.document_files(s, d), [r for r in CORPUS if r.id == "PII-EMAIL"])
     joined = m.join(fx.document_files(s, d), ["repo_id", "path"])

@@ -268,8 +268,12 @@ register("fleet_verify", _verify,
     SELECT repo_id, r.local_path, CASE WHEN r.local_path IS NULL THEN 'ORPHAN' WHEN o.local_path IS NULL THEN 'MISSING' WHEN type = 'path-based' THEN 'OK' WHEN NOT has_git THEN 'STALE' WHEN remote <> actual THEN 'STALE' ELSE 'OK' END AS status FROM repos r LEFT JOIN obs o ON r.local_path = o.local_path""")
 register("fleet_scan_counts", lambda s, d: fl.scan_counts(fx.audit_events(s, d).withColumn("repo_id", F.col("git_user"))),
          sql("audit_events", "SELECT git_user AS repo_id, count(*) AS scans FROM audit_events WHERE event = 'scan_started' GROUP BY 1"))
-register("fleet_overlap", lambda s, d: fl.overlaps(repos(s, d).where("local_path IS NOT NULL")),
-         f"WITH {REPOS_SQL} SELECT a.repo_id AS parent, b.repo_id AS child FROM repos a JOIN repos b ON starts_with(b.local_path, a.local_path || '/')")
+register("fleet_overlap", lambda s, d: fl.nesting(repos(s, d)),
+         f"""WITH {REPOS_SQL}, folders AS (SELECT local_path, min(repo_id) AS parent FROM repos WHERE local_path IS NOT NULL GROUP BY 1)
+    SELECT b.repo_id AS child, arg_max(a.parent, length(a.local_path)) AS parent, count(*) AS depth FROM repos b JOIN folders a ON starts_with(b.local_path, a.local_path || '/') GROUP BY 1""")
+register("fleet_overlap_of", lambda s, d: fl.overlapping(repos(s, d), "/srv/n3/p7"),
+         f"""WITH {REPOS_SQL} SELECT repo_id, CASE WHEN starts_with(local_path, '/srv/n3/p7/') THEN 'child' ELSE 'parent' END AS relation FROM repos
+    WHERE starts_with(local_path, '/srv/n3/p7/') OR starts_with('/srv/n3/p7/', local_path || '/') AND local_path <> '/srv/n3/p7'""")
 register("age_bucket", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", fl.age_text(F.col("o_orderkey") * F.col("o_orderkey") % 400000).alias("age")),
          """SELECT o_orderkey, CASE WHEN x >= 86400 THEN (x // 86400) || ' day' || CASE WHEN x // 86400 > 1 THEN 's' ELSE '' END || ' ago' WHEN x >= 3600 THEN (x // 3600) || ' hour' || CASE WHEN x // 3600 > 1 THEN 's' ELSE '' END || ' ago'
     WHEN x >= 60 THEN (x // 60) || ' minute' || CASE WHEN x // 60 > 1 THEN 's' ELSE '' END || ' ago' ELSE 'just now' END AS age FROM (SELECT o_orderkey, o_orderkey * o_orderkey % 400000 AS x FROM orders)""")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.functions.exprs import str_array
 from siftlake.functions.paths import basename, extension, name_glob_regex
 from siftlake.operators.path_index import IGNORE_KINDS, covers_entry, ignore_index, met
+from siftlake.session import written
 
 # --- Fixed values ---
 SUPPORTED_EXTENSIONS = [
@@ -141,14 +144,17 @@ def glob_target(files: DataFrame, target: str) -> DataFrame:
 def union_targets(targets: list[DataFrame]) -> DataFrame:
     """All targets together; the first target that has a path supplies it.
 
-    Only keys are shuffled to find the winner; the text is joined back once per surviving row.
+    The winners are found on keys alone and written; their size is then known, and up to the session's limit they are
+    sent to the texts, which stay where they are.
     """
-    tagged = None
+    keys = lambda i, t: t.select("repo_id", "path", F.lit(i).alias("_target"))
+    every = reduce(DataFrame.unionByName, [keys(i, t) for i, t in enumerate(targets)])
+    first = written(every.groupBy("repo_id", "path").agg(F.min("_target").alias("_target")), "targets")
+    parts = []
     for i, t in enumerate(targets):
-        part = t.withColumn("_target", F.lit(i))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    first = tagged.groupBy("repo_id", "path").agg(F.min("_target").alias("_target"))
-    return tagged.join(first, ["repo_id", "path", "_target"], "left_semi").drop("_target")
+        mine = first.where(F.col("_target") == i).select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"))
+        parts.append(t.join(mine, t["repo_id"].eqNullSafe(F.col("_r")) & t["path"].eqNullSafe(F.col("_p")), "left_semi"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def should_scan(path: Column) -> Column:
@@ -161,11 +167,18 @@ def should_scan(path: Column) -> Column:
 
 
 def changed_files(base: DataFrame, current: DataFrame) -> DataFrame:
-    """Files of `current` that are new or differ from `base`, skip list applied; hashes are compared."""
+    """Files of `current` that are new or differ from `base`, skip list applied; digests are compared.
+
+    The changed paths are found on digests alone and written; their size is then known, and up to the session's limit they
+    are sent to the texts, which stay where they are. States that are stored are compared by `digests.changed_paths`.
+    """
     digest = F.sha2("content", 256).alias("_digest")
-    old = base.select("repo_id", "path", digest)
-    new = current.where(should_scan(F.col("path"))).select("*", digest)
-    return new.join(old, ["repo_id", "path", "_digest"], "left_anti").drop("_digest")
+    wanted = current.where(should_scan(F.col("path")))
+    old = base.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), digest.alias("_d"))
+    new = wanted.select("repo_id", "path", digest)
+    same = F.col("repo_id").eqNullSafe(F.col("_r")) & F.col("path").eqNullSafe(F.col("_p")) & F.col("_digest").eqNullSafe(F.col("_d"))
+    changed = written(new.join(old, same, "left_anti").select(F.col("repo_id").alias("_r"), F.col("path").alias("_p")), "changed")
+    return wanted.join(changed, wanted["repo_id"].eqNullSafe(F.col("_r")) & wanted["path"].eqNullSafe(F.col("_p")), "left_semi")
 
 
 def parse_ignore_lines(lines: DataFrame) -> DataFrame:
