@@ -133,8 +133,7 @@ def history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sendable finding rows with chunk, skipped count) rebuilt from the log.
 
     A session's hook and time come from its first finding event. Rows without code hash, rule or file
-    cannot be rebuilt and are counted. Sessions are numbered in log order, ten to a chunk; numbering
-    goes by day so that it does not need one task for the whole log.
+    cannot be rebuilt and are counted. Sessions are numbered in log order, ten to a chunk.
     """
     rows = events.where(F.col("session_id").isNotNull() & F.col("event").isin(FINDING_EVENTS))
     ok = F.col("code_hash").isNotNull() & F.col("rule_id").isNotNull() & F.col("file").isNotNull()
@@ -144,14 +143,13 @@ def history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(ok).alias("n"),
     ).where("n > 0").select(
         "session_id", F.col("_first.ts").alias("first_ts"), F.col("_first.seq").alias("first_seq"), "first_hook"
-    ).withColumn("_day", F.to_date("first_ts"))
+    )
     sendable = rows.where(ok).join(_number_sessions(heads), "session_id")
     return sendable, skipped
 
 
 def _number_sessions(heads: DataFrame) -> DataFrame:
-    one = heads.withColumn("_all", F.lit(1))
-    ranked = numbered(one, ["_all"], "_day", ["first_ts", "first_seq"], "_n")
+    ranked = numbered(heads, [], ["first_ts", "first_seq"], "_n")
     return ranked.select(
         "session_id", "first_ts", "first_hook", F.floor((F.col("_n") - 1) / SESSIONS_PER_CHUNK).alias("chunk")
     )

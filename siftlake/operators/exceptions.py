@@ -23,30 +23,45 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")
 
 
-def path_suffixes(path: Column) -> Column:
-    """The path and each of its tails at a directory boundary: a/b/c -> [a/b/c, b/c, c]."""
-    parts = F.split(clean_path(path), "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")
-    )
+def path_suffixes(path: Column, depths: Column) -> Column:
+    """The tails of a path, at directory boundaries, of as many segments as listed: a/b/c, [1, 3] -> [c, a/b/c]."""
+    parts = F.split(clean_path(path), "/", -1)
+    fitting = F.filter(depths, lambda n: n <= F.size(parts))
+    return F.transform(fitting, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
 
 
 def match_exceptions(findings: DataFrame, exceptions: DataFrame, key=FINDING_KEY) -> DataFrame:
     """(finding key, exc struct): for each finding the first live exception, in list order, that fits.
 
-    The path test is "equal or a tail of the finding's path". Each finding is joined under each of its
-    path tails, which makes the join an equi-join on (repository, rule, file): no finding ever meets
-    the exceptions of other files, however many share one rule. The winner is found by an aggregation.
+    An exception fits a finding of its rule if its path is the finding's or a tail of it, and its hash, line or range
+    agrees. Each exception is filed under the rarest thing it asks for: its hash, and only without one its path. A
+    finding has the keys of its hashes, or of its line if its text is hidden, and the tails of its path that have as many
+    segments as some exception without a hash. So the many files of one name, and the exceptions of those, meet only
+    where their hashes agree, and nothing meets the exceptions of other files.
     """
-    e = exceptions.where(F.col("archived_at").isNull()).select(
-        "repo_id", "rule_id", clean_path(F.col("path")).alias("_suffix"), F.col("exc_ord").alias("e_ord"),
+    path = clean_path(F.col("path"))
+    has = F.col("line_hash").isNotNull()
+    tag = lambda t, c: F.concat(F.lit(t), c.cast("string"))  # noqa: E731  null where the value is
+    by_what = F.when(
+        has, F.array_compact(F.array(tag("h:", F.col("line_hash")), F.when(F.length("line_hash") == 16, tag("p:", F.col("line_hash"))), tag("l:", F.col("line"))))
+    ).otherwise(F.array(tag("f:", path)))
+    live = exceptions.where(F.col("archived_at").isNull() & (F.coalesce(path, F.lit("")) != ""))
+    e = live.select(
+        "repo_id", "rule_id", path.alias("_e_path"), F.col("exc_ord").alias("e_ord"), F.explode(by_what).alias("_key"),
         F.col("line_hash").alias("e_hash"), F.col("line").alias("e_line"), F.col("range_from").alias("e_from"),
         F.col("range_to").alias("e_to"),
         F.struct("id", "status", "created_at", "expires", "exc_ord", "reviewed_by").alias("exc"),
     )
+    # one row: the numbers of segments that paths of exceptions without a hash have
+    depths = live.where(~has).agg(F.collect_set(F.size(F.split(path, "/", -1))).alias("_depths"))
     text = F.when((F.col("snippet") != "") & (F.col("snippet") != "[REDACTED]"), F.col("snippet"))
     extra = [c for c in ("code_hash",) if c not in key]
-    f = findings.select(*key, *extra, legacy_line_hash(text).alias("_legacy"), F.explode(path_suffixes(F.col("path"))).alias("_suffix"))
+    f = findings.select(*key, *extra, legacy_line_hash(text).alias("_legacy")).crossJoin(F.broadcast(depths))
+    own = F.array_compact(F.array(
+        tag("h:", F.col("code_hash")), tag("p:", F.left(F.col("code_hash"), F.lit(16))), tag("h:", F.col("_legacy")), F.when(F.col("_legacy").isNull(), tag("l:", F.col("line"))),
+    ))
+    tails = F.transform(path_suffixes(F.col("path"), F.col("_depths")), lambda t: F.concat(F.lit("f:"), t))
+    f = f.withColumn("_key", F.explode(F.array_distinct(F.concat(own, F.coalesce(tails, F.array().cast("array<string>")))))).drop("_depths")
     has = F.col("e_hash").isNotNull()
     by_hash = (F.col("e_hash") == F.col("code_hash")) | (
         (F.length("e_hash") == 16) & F.startswith(F.col("code_hash"), F.col("e_hash"))
@@ -54,9 +69,10 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, key=FINDING_KEY
     by_legacy = F.col("e_hash") == F.col("_legacy")
     by_line = has & F.col("_legacy").isNull() & (F.col("e_line") == F.col("line"))
     in_range = F.col("e_from").isNull() | F.col("line").isNull() | F.col("line").between(F.col("e_from"), F.col("e_to"))
+    same_file = F.endswith(F.concat(F.lit("/"), clean_path(F.col("path"))), F.concat(F.lit("/"), F.col("_e_path")))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    pairs = f.join(e, ["repo_id", "rule_id", "_suffix"]).where(
-        yes(by_hash) | yes(by_legacy) | yes(by_line) | (~has & in_range)
+    pairs = f.join(e, ["repo_id", "rule_id", "_key"]).where(
+        yes(same_file) & (yes(by_hash) | yes(by_legacy) | yes(by_line) | (~has & in_range))
     )
     return pairs.groupBy(*key).agg(F.min_by("exc", "e_ord").alias("exc"))
 
@@ -303,8 +319,7 @@ def pending_push(pending: DataFrame, exceptions: DataFrame) -> tuple[DataFrame,
     once = pending.groupBy("repo_id", "id").agg(F.min("queued_at").alias("queued_at"))
     orphans = once.join(exceptions, ["repo_id", "id"], "left_anti")
     payload = exceptions.select("repo_id", "id", "rule_id", "path", "line", "line_hash", "type", "reason")
-    rows = once.join(payload, ["repo_id", "id"]).withColumn("_day", F.substring("queued_at", 1, 10))
-    ranked = numbered(rows, ["repo_id"], "_day", ["queued_at", "id"], "_n").drop("_day")
+    ranked = numbered(once.join(payload, ["repo_id", "id"]), ["repo_id"], ["queued_at", "id"], "_n")
     return ranked.withColumn("batch", F.floor((F.col("_n") - 1) / BATCH)).drop("_n"), orphans
 
 

@@ -82,19 +82,39 @@ def scan_counts(events: DataFrame) -> DataFrame:
     return events.where("event = 'scan_started'").groupBy("repo_id").agg(F.count(F.lit(1)).alias("scans"))
 
 
-def overlaps(repos: DataFrame) -> DataFrame:
-    """(parent, child): repositories whose folder contains another one.
+#: Parts into which the repositories below one folder are dealt.
+SALTS = 16
 
-    Each path is joined under each of its parent folders, an equi-join with as many rows as a path has
-    folders, instead of comparing all paths with each other.
+
+def nesting(repos: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(child, parent, depth): for every repository inside another one's folder the nearest such one, and how many there are.
+
+    A repository has one row, whatever lies around it: all that contain it are the chain of parents from there. Each path
+    meets its own parent folders by equality. A folder with very many repositories below, such as the root, is a row in
+    each of `salts` parts, so its repositories are spread. Of several repositories in one folder the least id stands for the
+    folder; repositories of one folder don't contain each other.
     """
-    parts = F.split(F.regexp_replace("local_path", r"/+\z", ""), "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/")
-    )
-    child = repos.where(F.size(parts) > 1).select(F.col("repo_id").alias("child"), F.explode(prefixes).alias("_p"))
-    parent = repos.select(F.col("repo_id").alias("parent"), F.regexp_replace("local_path", r"/+\z", "").alias("_p"))
-    return parent.join(child, "_p").where("parent <> child").select("parent", "child")
+    path = F.regexp_replace("local_path", r"/+\z", "")
+    parts = F.split(path, "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    known = repos.where(F.col("local_path").isNotNull())
+    child = known.where(F.size(parts) > 1).where(path != "").select(
+        F.col("repo_id").alias("child"), F.pmod(F.xxhash64("repo_id"), F.lit(salts)).alias("_salt"), F.explode(above).alias("_folder"))
+    folder = known.groupBy(path.alias("_folder")).agg(F.min("repo_id").alias("parent"))
+    folder = folder.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = child.join(folder, ["_folder", "_salt"])
+    nearest = met.groupBy("child").agg(F.max_by("parent", F.length("_folder")).alias("parent"), F.count(F.lit(1)).alias("depth"))
+    return nearest.select("child", "parent", "depth")
+
+
+def overlapping(repos: DataFrame, folder: str) -> DataFrame:
+    """(repo_id, relation): repositories that contain a folder (`parent`) or lie inside it (`child`)."""
+    root = folder.rstrip("/")
+    path = F.regexp_replace("local_path", r"/+\z", "")
+    inside = path.startswith(root + "/")
+    around = F.startswith(F.lit(root + "/"), F.concat(path, F.lit("/")))
+    relation = F.when(path == root, None).when(inside, "child").when(around, "parent")
+    return repos.select("repo_id", relation.alias("relation")).where(F.col("relation").isNotNull())
 
 
 def age_text(seconds: Column) -> Column:

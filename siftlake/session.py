@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "siftlake", **conf: str) -> SparkSession:
@@ -37,3 +38,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: read twice they are the same, and a lost executor doesn't cost the steps before."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/siftlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -26,11 +26,48 @@ def test_without_coverage_nothing_resolves(spark, sf):
 
 def test_numbering_of_a_hot_key(spark):
     df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"),
-        (F.col("id") % 17).alias("day"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("o"), "id")
-    got = numbered(df, ["k"], "day", ["o", "id"], "n")
-    want = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("day", "o", "id")).cast("bigint"))
-    assert got.select("k", "id", "n").exceptAll(want.select("k", "id", "n")).count() == 0
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 != 1, F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"),
+        F.when(F.col("id") % 9 != 1, F.pmod(F.xxhash64("id"), F.lit(1000))).alias("o"), "id")
+    got = numbered(df, ["k"], ["o", "id"], "n")
+    want = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("o", "id")).cast("bigint"))
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 3000
+    whole = numbered(df, [], ["o", "id"], "n")
+    assert whole.exceptAll(df.withColumn("n", F.row_number().over(W.orderBy("o", "id")).cast("bigint"))).count() == 0
+    assert numbered(df.where("false"), ["k"], ["o"], "n").count() == 0
+
+
+def test_a_million_sessions_of_one_day_are_dealt_out_evenly(spark):
+    n = 1_000_000
+    events = spark.range(n, numPartitions=8).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("session_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 3600).alias("ts"), F.col("id").alias("seq"),
+        F.lit("finding_blocked").alias("event"), F.lit("h").alias("code_hash"), F.lit("R").alias("rule_id"), F.lit("f").alias("file"), F.lit("pre-commit").alias("hook"))
+    rows, skipped = audit.history(events)
+    got = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.min("ts").alias("first")).cache()
+    assert (got.count(), skipped.first()[0]) == (n // 10, 0)
+    assert got.where("n <> 10").count() == 0 and got.where("last > first + interval 1 second").count() == 0
+    heads = events.select("session_id", F.col("ts").alias("first_ts"), F.col("seq").alias("first_seq"), F.lit("h").alias("first_hook"))
+    sizes = sorted(r[1] for r in numbered(heads, [], ["first_ts", "first_seq"], "n").groupBy(F.floor((F.col("n") - 1) / 1000)).count().collect())
+    assert sizes == [1000] * 1000
+    dealt = heads.repartitionByRange(8, "first_ts", "first_seq").groupBy(F.spark_partition_id()).count().orderBy("count").collect()
+    assert dealt[-1][1] < 2 * dealt[len(dealt) // 2][1]
+
+
+def test_a_million_findings_of_one_file_name(spark):
+    """Acceptances of index.js are filed by hash: each meets its own finding, not all files of the name."""
+    n, k = 1_000_000, 2_000
+    digest = F.md5(F.col("id").cast("string"))
+    findings = spark.range(n, numPartitions=8).select(
+        F.lit("r").alias("repo_id"), F.concat(F.lit("app/m"), F.col("id").cast("string"), F.lit("/index.js")).alias("path"), (F.col("id") % 500).alias("line"), F.lit("R").alias("rule_id"),
+        digest.alias("code_hash"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("text "), F.col("id").cast("string"))).otherwise("[REDACTED]").alias("snippet"))
+    none = F.lit(None).cast("string")
+    wanted = F.col("id") * 500 + 7
+    exceptions = spark.range(k, numPartitions=4).select(
+        F.lit("r").alias("repo_id"), F.lit("R").alias("rule_id"), F.lit("index.js").alias("path"), F.lit(1_000).cast("long").alias("line"), F.lit(None).cast("long").alias("range_from"), F.lit(None).cast("long").alias("range_to"),
+        F.when(F.col("id") % 2 == 0, F.md5(wanted.cast("string"))).otherwise(F.left(F.md5(wanted.cast("string")), F.lit(16))).alias("line_hash"), none.alias("archived_at"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"),
+        F.lit("approved").alias("status"), none.alias("created_at"), none.alias("expires"), F.col("id").alias("exc_ord"), none.alias("reviewed_by"))
+    got = ex.match_exceptions(findings, exceptions)
+    assert got.count() == k
+    assert got.where(F.col("path") != F.concat(F.lit("app/m"), ((F.substring("exc.id", 2, 9).cast("long")) * 500 + 7).cast("string"), F.lit("/index.js"))).count() == 0
 
 
 def test_batches_of_a_hot_session_are_split_and_whole(spark):
