@@ -99,19 +99,61 @@ register("review_eligible", lambda s, d: rp.review_payload(doc_findings(s, d), f
          sql("files", "SELECT repo_id, path, line, rule_id, severity, sha256(array_to_string(context, chr(10))) AS context FROM df JOIN ctx USING (repo_id, path, line) WHERE severity IN ('CRITICAL', 'HIGH')", DF_SQL, CTX(8)))
 register("review_warning", lambda s, d: rp.review_warning(doc_findings(s, d)),
          sql("files", "SELECT repo_id, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS eligible, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) > 20 AS large FROM df GROUP BY 1", DF_SQL))
-REPORT = "sink_report_json"
+def report_rows(s, d):
+    """Findings with the texts of their rules, some of which have none."""
+    n = F.substring("rule_id", 2, 9).cast("long")
+    return report_findings(s, d).withColumns({"why": F.when(n % 2 == 0, F.concat(F.lit("Why of "), "rule_id")), "fix": F.when(n % 3 != 0, F.concat(F.lit("Fix "), "rule_id"))})
 
 
-def _json(s, d):
-    return rp.report_json(report_findings(s, d)).groupBy("repo_id", "section").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("section") == "summary", F.get_json_object("json", "$.riskScore").cast("bigint"))).alias("risk"),
-        F.sum(F.when(F.col("section") == "checklist", F.get_json_object("json", "$.occurrences").cast("bigint"))).alias("occurrences"))
+def report_scans(s, d):
+    return report_findings(s, d).groupBy("repo_id").agg(F.countDistinct("path").alias("total_files"), F.count_if(F.col("off") % 7 == 0).alias("skipped")).withColumns(
+        {"scan_date": F.lit("2024-05-01T00:00:00Z"), "target": F.concat(F.lit("src_"), "repo_id")})
+
+
+def _folder(s, name):
+    return f"{checkpoint_dir(s)}/siftlake-{name}-{uuid.uuid4().hex}"
 
 
-register(REPORT, _json, sql(L, """SELECT repo_id, 'summary' AS section, 1 AS n, risk_score AS risk, NULL AS occurrences FROM risk UNION ALL SELECT repo_id, 'finding', count(*), NULL, NULL FROM rf GROUP BY 1
-    UNION ALL SELECT repo_id, 'checklist', count(DISTINCT rule_id), NULL, count(*) FROM rf GROUP BY 1""", RF_SQL, RISK))
-register("sink_report_md", lambda s, d: rp.report_markdown(report_findings(s, d)).where("s3 <> ''").select("repo_id", "text"),
-         sql(L, r"""SELECT repo_id, '- `' || regexp_replace(path, '([`*_\[\]<>|\\])', '\\\1', 'g') || '` line **' || line || '**  `' || snippet || '`' AS text FROM rf""", RF_SQL))
+def _json(s, d):
+    """The whole report, written as JSON lines and read again."""
+    path = _folder(s, "report-json")
+    rp.write_json(rp.report_json(report_rows(s, d), report_scans(s, d)), path)
+    return s.read.option("basePath", path).schema("value string, repo_id string, section string").text(path).select("repo_id", "section", F.col("value").alias("json"))
+
+
+def _md(s, d):
+    """All lines of the report, written as text and read again."""
+    path = _folder(s, "report-md")
+    rp.write_markdown(rp.report_markdown(report_rows(s, d), report_scans(s, d)), path)
+    return s.read.option("basePath", path).schema("value string, repo_id string").text(path).select("repo_id", F.col("value").alias("text"))
+
+
+RR_SQL = (
+    RF_SQL, RISK,
+    """rr AS (SELECT *, 'Name_' || rule_id AS name, CASE WHEN CAST(substring(rule_id, 2) AS BIGINT) % 2 = 0 THEN 'Why of ' || rule_id END AS why,
+    CASE WHEN CAST(substring(rule_id, 2) AS BIGINT) % 3 <> 0 THEN 'Fix ' || rule_id END AS fix FROM rf)""",
+    "sc AS (SELECT repo_id, count(DISTINCT path) AS total_files, count(*) FILTER (off % 7 = 0) AS skipped, '2024-05-01T00:00:00Z' AS scan_date, 'src_' || repo_id AS target FROM rf GROUP BY 1)",
+    "sm AS (SELECT repo_id, " + ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in rp.sev.ORDER) + " FROM rr GROUP BY 1)",
+    "ca AS (SELECT repo_id, list(struct_pack(category := category, count := n) ORDER BY n DESC, category) AS cats FROM (SELECT repo_id, category, count(*) AS n FROM rr GROUP BY ALL) GROUP BY 1)",
+    f"it AS (SELECT repo_id, rule_id, min({RANK}) AS r, arg_min(name, ({RANK}) * 1000000000000 + off) AS name, arg_min(category, ({RANK}) * 1000000000000 + off) AS category, count(*) AS n FROM rr GROUP BY ALL)",
+    f"ru AS (SELECT repo_id, rule_id, {RANK} AS r, any_value(name) AS name, arg_min(category, off) AS category, any_value(why) AS why, any_value(fix) AS fix FROM rr GROUP BY ALL)",
+)
+_SEVERITY = "(['CRITICAL', 'HIGH', 'MEDIUM', 'EXPOSURE', 'INFO'])[r + 1]"
+_esc = lambda c: rf"regexp_replace({c}, '([`*_\[\]<>|\\])', '\\\1', 'g')"
+register("sink_report_json", _json, sql(L, f"""SELECT repo_id, 'meta' AS section, CAST(to_json(struct_pack("scanDate" := scan_date, target := target, "totalFiles" := total_files, "skippedFiles" := skipped)) AS VARCHAR) AS json FROM sc
+    UNION ALL SELECT repo_id, 'summary', CAST(to_json(struct_pack("riskScore" := risk_score, "riskLabel" := {LABEL.split(' AS ')[0]}, "totalFindings" := findings, "bySeverity" := struct_pack({', '.join(f'"{x}" := {x}' for x in rp.sev.ORDER)}), "byCategory" := cats)) AS VARCHAR)
+    FROM risk JOIN sm USING (repo_id) JOIN ca USING (repo_id)
+    UNION ALL SELECT repo_id, 'finding', CAST(to_json(struct_pack("findingId" := NULL::VARCHAR, "ruleId" := rule_id, severity := severity, name := name, category := category, "filePath" := path, line := line, match := snippet, why := why, scenario := NULL::VARCHAR,
+    fix := fix, excepted := excepted, "codeHash" := NULL::VARCHAR)) AS VARCHAR) FROM rr
+    UNION ALL SELECT repo_id, 'checklist', CAST(to_json(struct_pack("ruleId" := rule_id, severity := {_SEVERITY}, name := name, category := category, occurrences := n, resolved := false)) AS VARCHAR) FROM it""", *RR_SQL))
+register("sink_report_md", _md, sql(L, rf"""SELECT repo_id, unnest(list_filter(['# Code scan report', '', '> Date: **' || scan_date || '**, target: `' || {_esc('target')} || '`, files: **' || total_files || '**', '', '## Summary', '', '| Property | Value |', '|---|---|',
+    '| Risk | ' || {LABEL.split(' AS ')[0]} || ' (' || risk_score || '/100) |', '| Findings | **' || findings || '** |', CASE WHEN skipped > 0 THEN '| Skipped files | ' || skipped || ' |' END, '', '### Findings by severity', '', '| Severity | Count | Meaning |', '|---|---|---|',
+    {', '.join(f"CASE WHEN {x} > 0 THEN '| {x} | **' || {x} || '** | {rp.MEANING[x]} |' END" for x in rp.sev.ORDER)}, '', '---', '', '## Findings', '', '## Checklist', '', 'Tick off what is resolved:', '', '', '---'], lambda x: x IS NOT NULL)) AS text
+    FROM risk JOIN sm USING (repo_id) JOIN sc USING (repo_id)
+    UNION ALL SELECT repo_id, unnest(['### ' || {_SEVERITY} || ' (' || n || ')', '']) FROM (SELECT repo_id, {RANK} AS r, count(*) AS n FROM rr GROUP BY ALL)
+    UNION ALL SELECT repo_id, unnest(list_filter(['#### ' || {_esc('rule_id')} || ' - ' || {_esc('name')}, '', '**Category:** ' || {_esc('category')}, '', '**Occurrences:**', '', '', '**Why:** ' || why, CASE WHEN why IS NOT NULL THEN '' END, '**Fix:** ' || fix, CASE WHEN fix IS NOT NULL THEN '' END, '---', ''], lambda x: x IS NOT NULL)) FROM ru
+    UNION ALL SELECT repo_id, '- `' || {_esc('path')} || '` line **' || line || '**  `' || {_esc('snippet')} || '`' FROM rr
+    UNION ALL SELECT repo_id, '- [ ] `' || {_SEVERITY} || '` **' || {_esc('rule_id')} || '** - ' || {_esc('name')} || CASE WHEN n > 1 THEN ' _(' || n || ' occurrences)_' ELSE '' END FROM it""", *RR_SQL))
 
 # ------------------------------------------------------------------ export
 def verdict_rows(s, d):

@@ -251,79 +251,132 @@ def md_escape(text: Column) -> Column:
     return F.regexp_replace(plain, r"([`*_\[\]<>|\\])", r"\\$1")
 
 
-def report_json(findings: DataFrame) -> DataFrame:
-    """Rows (repo_id, section, ord, json): a summary, the findings and the checklist of each repository.
+FINDING_FIELDS = {
+    "findingId": "finding_id", "ruleId": "rule_id", "severity": "severity", "name": "name", "category": "category", "filePath": "path", "line": "line",
+    "match": "snippet", "why": "why", "scenario": "scenario", "fix": "fix", "excepted": "excepted", "codeHash": "code_hash",
+}
+SCAN_FIELDS = {"scanDate": "scan_date", "target": "target", "totalFiles": "total_files", "skippedFiles": "skipped"}
+MEANING = {
+    "CRITICAL": "Can be exploited as it is", "HIGH": "Likely to be exploited", "MEDIUM": "A weakness to plan for", "EXPOSURE": "Tells outsiders more than they need", "INFO": "For information",
+}
+
+
+def _optional(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
+
+
+def _json_rows(df: DataFrame, section: str, order: Column, **fields: Column) -> DataFrame:
+    body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+    return df.select("repo_id", F.lit(section).alias("section"), order.cast("string").alias("ord"), body.alias("json"))
+
+
+def _summary(findings: DataFrame) -> DataFrame:
+    """Per repository: findings, risk, a count for each severity, and the categories, most frequent first."""
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in sev.ORDER]
+    named = findings.groupBy("repo_id", F.coalesce("category", F.lit("Unknown")).alias("category")).agg(F.count(F.lit(1)).alias("count"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "category"))), lambda x: F.struct(x["category"].alias("category"), (-x["n"]).alias("count")))
+    return risk_score(findings).join(findings.groupBy("repo_id").agg(*counts), "repo_id").join(named.groupBy("repo_id").agg(pairs.alias("categories")), "repo_id")
+
+
+def _items(findings: DataFrame) -> DataFrame:
+    """The checklist of each repository: one row per rule with its worst severity, first name and category, all occurrences."""
+    r = sev.rank(F.col("severity"))
+    order = F.struct(r, F.col("off"))
+    return findings.groupBy("repo_id", "rule_id").agg(
+        F.min(r).alias("r"), F.min_by(_optional(findings, "name"), order).alias("name"), F.min_by("category", order).alias("category"), F.count(F.lit(1)).alias("occurrences"),
+    ).where(F.col("r") < len(sev.ORDER)).withColumn("severity", F.element_at(F.lit(sev.ORDER), F.col("r") + 1))
+
+
+def report_json(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Rows (repo_id, section, ord, json): meta, summary, findings and checklist of each repository.
 
     The document is written as JSON lines: a repository of any size stays spread over tasks, and each
-    line is a complete JSON value.
+    line is a complete JSON value. scans(repo_id, scan_date, target, total_files, skipped) gives the meta lines.
     """
-    per = lambda df, section, ord_, *cols: df.select(
-        "repo_id", F.lit(section).alias("section"), ord_.cast("string").alias("ord"), F.to_json(F.struct(*cols)).alias("json")
-    )
-    counts = [F.count_if(F.col("severity") == s).alias(s) for s in sev.ORDER]
-    summary = risk_score(findings).join(findings.groupBy("repo_id").agg(*counts), "repo_id")
-    rows = per(
-        summary, "summary", F.lit("0"), F.col("risk_score").alias("riskScore"), F.col("risk_label").alias("riskLabel"),
-        F.col("findings").alias("totalFindings"), F.struct(*sev.ORDER).alias("bySeverity"),
+    total = _summary(findings)
+    rows = _json_rows(
+        total, "summary", F.lit("0"), riskScore=F.col("risk_score"), riskLabel=F.col("risk_label"), totalFindings=F.col("findings"),
+        bySeverity=F.struct(*sev.ORDER), byCategory=F.col("categories"),
     )
-    detail = per(
-        findings, "finding", F.col("off"), F.col("rule_id").alias("ruleId"), "severity", "category",
-        F.col("path").alias("filePath"), "line", "excepted",
-    )
-    items = findings.groupBy("repo_id", "rule_id").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(sev.rank(F.col("severity"))).alias("r")
-    )
-    todo = per(items, "checklist", F.concat(F.col("r").cast("string"), F.col("rule_id")), F.col("rule_id").alias("ruleId"), "occurrences")
-    return rows.unionByName(detail).unionByName(todo)
+    detail = _json_rows(findings, "finding", F.col("off"), **{k: _optional(findings, c) for k, c in FINDING_FIELDS.items()})
+    todo = _items(findings)
+    todo = _json_rows(todo, "checklist", F.concat(F.col("r").cast("string"), F.col("rule_id")), ruleId=F.col("rule_id"), severity=F.col("severity"), name=F.col("name"),
+                      category=F.col("category"), occurrences=F.col("occurrences"), resolved=F.lit(False))
+    out = rows.unionByName(detail).unionByName(todo)
+    if scans is not None:
+        out = out.unionByName(_json_rows(scans, "meta", F.lit("0"), **{k: _optional(scans, c) for k, c in SCAN_FIELDS.items()}))
+    return out
 
 
-def report_markdown(findings: DataFrame) -> DataFrame:
-    """Ordered lines (repo_id, s1, s2, s3, text) of a Markdown report; sort and write as text."""
-    counts = [F.count_if(F.col("severity") == s).alias(s) for s in sev.ORDER]
-    head = risk_score(findings).join(findings.groupBy("repo_id").agg(*counts), "repo_id")
-    sev_lines = [
-        F.when(F.col(s) > 0, F.format_string(f"| {s} | **%d** |", F.col(s))) for s in sev.ORDER
-    ]
-    lines = F.array_compact(
-        F.array(
-            F.lit("# Code scan report"), F.lit(""),
-            F.format_string("Risk: %s (%d/100), findings: **%d**", "risk_label", "risk_score", "findings"), F.lit(""),
-            F.lit("| Severity | Count |"), F.lit("|---|---|"), *sev_lines, F.lit(""), F.lit("## Findings"), F.lit(""),
-        )
-    )
-    top = head.select("repo_id", F.posexplode(lines).alias("i", "text")).select(
-        "repo_id", F.lit(0).alias("s1"), F.lpad(F.col("i").cast("string"), 4, "0").alias("s2"), F.lit("").alias("s3"), "text"
-    )
-    rank = sev.rank(F.col("severity")) + 1
-    rules = findings.groupBy("repo_id", rank.alias("s1"), F.col("rule_id").alias("s2")).agg(
-        F.min_by("name", "off").alias("n"), F.min_by("severity", "off").alias("sv")
-    ).select(
-        "repo_id", "s1", "s2", F.lit("").alias("s3"),
-        F.concat(F.lit("### "), "sv", F.lit(" "), md_escape(F.col("s2")), F.lit(" - "), md_escape(F.col("n"))).alias("text"),
-    )
-    snip = F.when(
-        (F.col("snippet") != "") & (F.col("snippet") != "[REDACTED]"),
-        F.concat(F.lit("  `"), md_escape(F.trim(F.substring("snippet", 1, 80))), F.lit("`")),
-    ).otherwise("")
-    places = findings.select(
-        "repo_id", rank.alias("s1"), F.col("rule_id").alias("s2"),
-        F.concat(F.col("path"), F.lit(":"), F.lpad(F.col("line").cast("string"), 9, "0"), F.lit(":"), F.col("off").cast("string")).alias("s3"),
-        F.concat(F.lit("- `"), md_escape(F.col("path")), F.lit("` line **"), F.col("line").cast("string"), F.lit("**"), snip).alias("text"),
+def write_json(report: DataFrame, path: str) -> None:
+    """JSON lines, a folder for each repository and section."""
+    keys = ["repo_id", "section", "ord"]
+    report.repartitionByRange(*keys).sortWithinPartitions(*keys).select("repo_id", "section", "json").write.partitionBy("repo_id", "section").text(path)
+
+
+def _lines(df: DataFrame, s1: Column, s2: Column, prefix: str, lines: list[Column]) -> DataFrame:
+    """A block of lines in order; those that are null are left out."""
+    at = df.select("repo_id", s1.cast("int").alias("s1"), s2.cast("string").alias("s2"), F.posexplode(F.array_compact(F.array(*lines))).alias("i", "text"))
+    return at.select("repo_id", "s1", "s2", F.concat(F.lit(prefix), F.lpad(F.col("i").cast("string"), 3, "0")).alias("s3"), "text")
+
+
+def report_markdown(findings: DataFrame, scans: DataFrame | None = None, snippet_chars: int | None = None) -> DataFrame:
+    """Ordered lines (repo_id, s1, s2, s3, text) of a Markdown report: heading, summary, severities, for each severity its
+    rules with places and explanations, checklist. Sort and write as text. Snippets are whole unless a length is given.
+    """
+    text = F.lit
+    blank = text("")
+    total = _summary(findings)
+    meta = []
+    if scans is not None:
+        total = total.join(scans.select("repo_id", *[c for c in SCAN_FIELDS.values() if c in scans.columns]), "repo_id", "left")
+        meta = [
+            F.concat(text("> Date: **"), _optional(total, "scan_date").cast("string"), text("**, target: `"), md_escape(_optional(total, "target")), text("`, files: **"), _optional(total, "total_files").cast("string"), text("**")), blank,
+        ]
+    skipped = F.when(_optional(total, "skipped").cast("bigint") > 0, F.concat(text("| Skipped files | "), _optional(total, "skipped").cast("string"), text(" |"))) if scans is not None else F.lit(None).cast("string")
+    top = _lines(total, F.lit(0), F.lit(""), "", [
+        text("# Code scan report"), blank, *meta, text("## Summary"), blank, text("| Property | Value |"), text("|---|---|"),
+        F.format_string("| Risk | %s (%d/100) |", "risk_label", "risk_score"), F.format_string("| Findings | **%d** |", "findings"), skipped, blank,
+        text("### Findings by severity"), blank, text("| Severity | Count | Meaning |"), text("|---|---|---|"),
+        *[F.when(F.col(s) > 0, F.format_string(f"| {s} | **%d** | {MEANING[s]} |", F.col(s))) for s in sev.ORDER], blank, text("---"), blank, text("## Findings"), blank,
+    ])
+    known = findings.withColumn("_s", sev.rank(F.col("severity")) + 1).where(F.col("_s") <= len(sev.ORDER))
+    heads = known.groupBy("repo_id", "_s").agg(F.count(F.lit(1)).alias("n"))
+    heads = _lines(heads, F.col("_s"), F.lit(""), "", [F.concat(text("### "), F.element_at(F.lit(sev.ORDER), F.col("_s")), F.format_string(" (%d)", "n")), blank])
+    about = ["name", "category", "why", "scenario", "fix"]
+    rules = known.groupBy("repo_id", "_s", "rule_id").agg(*[F.min_by(_optional(known, c), "off").alias(c) for c in about])
+    given = lambda c, line: F.when(F.coalesce(F.col(c), F.lit("")) != "", line)
+    note = lambda c, label: [given(c, F.concat(text(f"**{label}:** "), F.col(c))), given(c, blank)]
+    before = _lines(rules, F.col("_s"), F.col("rule_id"), "0:", [
+        F.concat(text("#### "), md_escape(F.col("rule_id")), text(" - "), md_escape(F.col("name"))), blank,
+        given("category", F.concat(text("**Category:** "), md_escape(F.col("category")))), given("category", blank), text("**Occurrences:**"), blank,
+    ])
+    after = _lines(rules, F.col("_s"), F.col("rule_id"), "2:", [blank, *note("why", "Why"), *note("scenario", "Scenario"), *note("fix", "Fix"), text("---"), blank])
+    snippet = F.col("snippet") if snippet_chars is None else F.substring("snippet", 1, snippet_chars)
+    shown = F.when((F.col("snippet") != "") & (F.col("snippet") != "[REDACTED]"), F.concat(text("  `"), md_escape(F.trim(snippet)), text("`"))).otherwise("")
+    places = known.select(
+        "repo_id", F.col("_s").cast("int").alias("s1"), F.col("rule_id").alias("s2"),
+        F.concat(text("1:"), F.col("path"), text(":"), F.lpad(F.col("line").cast("string"), 9, "0"), text(":"), F.lpad(F.col("off").cast("string"), 19, "0")).alias("s3"),
+        F.concat(text("- `"), md_escape(F.col("path")), text("` line **"), F.col("line").cast("string"), text("**"), shown).alias("text"),
     )
-    todo = findings.groupBy("repo_id", "rule_id").agg(
-        F.count(F.lit(1)).alias("c"), F.min(sev.rank(F.col("severity"))).alias("r"), F.min_by("name", "off").alias("n")
-    ).select(
-        "repo_id", F.lit(90).alias("s1"), F.concat(F.col("r").cast("string"), "rule_id").alias("s2"), F.lit("").alias("s3"),
+    items = _items(findings)
+    todo = items.select(
+        "repo_id", F.lit(90).alias("s1"), F.concat(text("1:"), F.col("r").cast("string"), F.col("rule_id")).alias("s2"), F.lit("").alias("s3"),
         F.concat(
-            F.lit("- [ ] **"), md_escape(F.col("rule_id")), F.lit("** "), md_escape(F.col("n")),
-            F.when(F.col("c") > 1, F.format_string(" (%d occurrences)", "c")).otherwise(""),
+            text("- [ ] `"), F.col("severity"), text("` **"), md_escape(F.col("rule_id")), text("** - "), md_escape(F.col("name")),
+            F.when(F.col("occurrences") > 1, F.format_string(" _(%d occurrences)_", "occurrences")).otherwise(""),
         ).alias("text"),
     )
-    return top.unionByName(rules).unionByName(places).unionByName(todo)
+    list_head = _lines(total, F.lit(90), F.lit("0:"), "", [text("## Checklist"), blank, text("Tick off what is resolved:"), blank])
+    end = _lines(total, F.lit(99), F.lit(""), "", [blank, text("---")])
+    out = top
+    for part in (heads, before, places, after, list_head, todo, end):
+        out = out.unionByName(part)
+    return out
 
 
 def write_markdown(report: DataFrame, path: str) -> None:
-    """One folder per repository; a range partitioning on the sort keys keeps the lines in order."""
+    """One folder per repository; a range partitioning on the sort keys keeps the lines in order over its files."""
     keys = ["repo_id", "s1", "s2", "s3"]
     report.repartitionByRange(*keys).sortWithinPartitions(*keys).select("repo_id", "text").write.partitionBy(
         "repo_id"
