@@ -115,10 +115,9 @@ EMISSION = ["rule_rank", "off"]
 
 
 def _first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key; combined before the exchange, so a key of any size is no burden."""
-    rest = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return first.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+    """The first row of each key. Spark keeps one row of a key in each task before the exchange, so a key of any size is no burden."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def dedup_active(active: DataFrame, emission=EMISSION) -> DataFrame:
@@ -126,8 +125,8 @@ def dedup_active(active: DataFrame, emission=EMISSION) -> DataFrame:
 
     Order: tainted first, then severity, then emission. A row of a lower rank is dropped when a more
     severe one was already kept on its line; since the order inside taint groups is by rank, comparing
-    with the least rank of all earlier rows is exact (dropped rows never lower that minimum). The
-    window comes after the first step, so it holds one row per rule at most, however often rules match on a line.
+    with the least rank of all earlier rows is exact (dropped rows never lower that minimum). Rows are
+    exchanged once, by line, for both steps; what a line of a file has of one rule is bounded by that line.
     """
     keyed = active.withColumns(
         {
@@ -137,7 +136,7 @@ def dedup_active(active: DataFrame, emission=EMISSION) -> DataFrame:
     )
     order = [F.col("_t"), F.col("_r"), *[F.col(c) for c in emission]]
     per_line = ["repo_id", "path", "line"]
-    unique = _first_of(keyed, [*per_line, "rule_id"], order)
+    unique = _first_of(keyed.repartition(*per_line), [*per_line, "rule_id"], order)
     earlier = W.partitionBy(*per_line).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     kept = unique.withColumn("_best", F.coalesce(F.min("_r").over(earlier), F.lit(99))).where("_r <= _best")
     return kept.drop("_t", "_r", "_best")
