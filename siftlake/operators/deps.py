@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from siftlake.functions.exprs import let
 from siftlake.functions.paths import basename
 
-# Dependency name -> framework, with the way the name is compared.
+# Dependency name -> framework, with the way the name is compared; further down the patterns of manifest lines.
 FRAMEWORKS = [
     *[("javascript", "exact", n, n) for n in (
         "express", "fastify", "koa", "next", "react", "vue", "typeorm", "sequelize", "mongoose", "jsonwebtoken")],
@@ -19,102 +20,123 @@ FRAMEWORKS = [
 OUT = ["repo_id", "path", "language", "name", "version", "dev"]
 
 
-def _json_maps(files: DataFrame, file_name: str, language: str, main: str, dev: str, skip: str | None) -> DataFrame:
-    """A dev entry replaces the main entry of the same name, as later keys of one object do."""
-    rows = files.where(basename(F.col("path")) == file_name).select(
-        "repo_id", "path",
-        F.from_json("content", f"`{main}` map<string,string>, `{dev}` map<string,string>").alias("j"),
-    )
-    none = F.create_map().cast("map<string,string>")
-    m, d = F.coalesce(F.col(f"j.{main}"), none), F.coalesce(F.col(f"j.`{dev}`"), none)
-    m = F.map_filter(m, lambda k, _: ~F.map_contains_key(d, k) & (F.lit(True) if skip is None else k != skip))
-    entries = F.concat(
-        F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(False).alias("dev"))),
-        F.transform(F.map_entries(d), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(True).alias("dev"))),
-    )
-    return rows.select("repo_id", "path", F.lit(language).alias("language"), F.inline(entries))
+ENTRY = "array<struct<name:string,version:string,dev:boolean>>"
 
 
-def package_json(files: DataFrame) -> DataFrame:
-    return _json_maps(files, "package.json", "javascript", "dependencies", "devDependencies", None)
+def _entry(name: Column, version: Column, dev: Column | bool = False) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"), (F.lit(dev) if isinstance(dev, bool) else dev).alias("dev"))
 
 
-def composer_json(files: DataFrame) -> DataFrame:
-    return _json_maps(files, "composer.json", "php", "require", "require-dev", "php")
+def _json_maps(main: str, dev: str, skip: str | None) -> Column:
+    """A dev entry replaces the main entry of the same name, as later keys of one object do."""
+    j = F.from_json("content", f"`{main}` map<string,string>, `{dev}` map<string,string>")
+    none = F.create_map().cast("map<string,string>")
+
+    def both(j: Column) -> Column:
+        m, d = F.coalesce(j[main], none), F.coalesce(j[dev], none)
+        m = F.map_filter(m, lambda k, _: ~F.map_contains_key(d, k) & (F.lit(True) if skip is None else k != skip))
+        return F.concat(
+            F.transform(F.map_entries(m), lambda e: _entry(e["key"], e["value"])),
+            F.transform(F.map_entries(d), lambda e: _entry(e["key"], e["value"], True)),
+        )
 
+    return let(j, both)
 
-def _last_wins(rows: DataFrame) -> DataFrame:
-    """One row per (manifest, name): the later line replaces the earlier one."""
-    return rows.groupBy("repo_id", "path", "language", "name").agg(
-        F.max_by("version", "pos").alias("version"), F.max_by("dev", "pos").alias("dev")
-    )
 
+def _last_wins(entries: Column) -> Column:
+    """One entry per name: the later line of a manifest replaces the earlier one."""
+    return let(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["name"] == e["name"])))
 
-def requirements_txt(files: DataFrame) -> DataFrame:
+
+def _requirements() -> Column:
     rx = r"^([A-Za-z0-9_.-]+)\s*([><=!~]+\s*[\d.*]+)?"
-    lines = files.where(basename(F.col("path")) == "requirements.txt").select(
-        "repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "raw")
-    ).withColumn("t", F.trim(F.regexp_replace("raw", r"^\s+|\s+\z", "")))
-    ok = (F.col("t") != "") & ~F.col("t").startswith("#") & ~F.col("t").startswith("-") & F.col("t").rlike(rx)
-    version = F.trim(F.regexp_extract("t", rx, 2))
-    return _last_wins(
-        lines.where(ok).select(
-            "repo_id", "path", F.lit("python").alias("language"), F.lower(F.regexp_extract("t", rx, 1)).alias("name"),
-            F.when(version != "", version).otherwise("*").alias("version"), F.lit(False).alias("dev"), "pos",
-        )
-    )
+    lines = F.transform(F.split("content", "\n"), lambda raw: F.trim(F.regexp_replace(raw, r"^\s+|\s+\z", "")))
+    ok = lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("-") & t.rlike(rx)
+    version = lambda t: F.trim(F.regexp_extract(t, rx, 2))
+    return _last_wins(F.transform(F.filter(lines, ok), lambda t: _entry(F.lower(F.regexp_extract(t, rx, 1)), F.when(version(t) != "", version(t)).otherwise("*"))))
 
 
-def pyproject_toml(files: DataFrame) -> DataFrame:
-    """Section of dependencies; used only where the repository has no requirements.txt beside it."""
+def _pyproject() -> Column:
     section = r"\[(?:project\.dependencies|tool\.poetry\.dependencies)\]((?s:.*?))(?=\[|\z)"
     pair = r"^([A-Za-z0-9_.-]+)\s*=\s*[\"']?([^\"'\n]+)[\"']?"
     quoted = r"[\"']([A-Za-z0-9_.-]+)\s*([><=!~]+\s*[\d.*]+)?[\"']"
-    folder = F.regexp_replace("path", r"[^/]*\z", "")
-    has_req = files.where(basename(F.col("path")) == "requirements.txt").select("repo_id", folder.alias("_dir"))
-    own = files.where(basename(F.col("path")) == "pyproject.toml").withColumn("_dir", folder)
-    own = own.join(has_req, ["repo_id", "_dir"], "left_anti")
-    lines = own.select(
-        "repo_id", "path", F.posexplode(F.split(F.regexp_extract("content", section, 1), "\n")).alias("pos", "t")
-    )
-    is_pair = F.col("t").rlike(pair)
-    version = F.trim(F.regexp_extract("t", quoted, 2))
-    return _last_wins(
-        lines.where(is_pair | F.col("t").rlike(quoted)).select(
-            "repo_id", "path", F.lit("python").alias("language"),
-            F.lower(F.when(is_pair, F.regexp_extract("t", pair, 1)).otherwise(F.regexp_extract("t", quoted, 1))).alias("name"),
-            F.when(is_pair, F.trim(F.regexp_extract("t", pair, 2))).when(version != "", version).otherwise("*").alias("version"),
-            F.lit(False).alias("dev"), "pos",
+    lines = F.split(F.regexp_extract("content", section, 1), "\n")
+
+    def entry(t: Column) -> Column:
+        version = F.trim(F.regexp_extract(t, quoted, 2))
+        return _entry(
+            F.lower(F.when(t.rlike(pair), F.regexp_extract(t, pair, 1)).otherwise(F.regexp_extract(t, quoted, 1))),
+            F.when(t.rlike(pair), F.trim(F.regexp_extract(t, pair, 2))).when(version != "", version).otherwise("*"),
         )
-    )
+
+    return _last_wins(F.transform(F.filter(lines, lambda t: t.rlike(pair) | t.rlike(quoted)), entry))
+
+
+def _csproj() -> Column:
+    ref = F.lit('(?i)<PackageReference\\s+Include="([^"]+)"\\s+Version="([^"]+)"')
+    names, versions = (F.regexp_extract_all("content", ref, F.lit(i)) for i in (1, 2))
+    return _last_wins(F.zip_with(names, versions, lambda n, v: _entry(F.lower(n), v)))
+
+
+def _target_framework() -> Column:
+    return F.nullif(F.trim(F.regexp_extract("content", r"(?i)<TargetFrameworks?>([^<]+)</TargetFrameworks?>", 1)), F.lit(""))
+
+
+# manifest -> its language and how its entries are read
+MANIFESTS = {
+    "package.json": ("javascript", lambda: _json_maps("dependencies", "devDependencies", None)),
+    "requirements.txt": ("python", _requirements), "pyproject.toml": ("python", _pyproject),
+    "composer.json": ("php", lambda: _json_maps("require", "require-dev", "php")), "csproj": ("csharp", _csproj),
+}
+
+
+def _kind() -> Column:
+    """Which manifest a file is, from its path alone."""
+    name = basename(F.col("path"))
+    return F.when(F.col("path").endswith(".csproj"), "csproj").when(name.isin([k for k in MANIFESTS if k != "csproj"]), name)
+
+
+def _entries_of(files: DataFrame, *kinds: str) -> DataFrame:
+    """One row per dependency of the manifests of these kinds; each file is read once and judged in its own row."""
+    entries, language = F.when(F.lit(False), F.lit(None).cast(ENTRY)), F.when(F.lit(False), F.lit(""))
+    for k in kinds:
+        entries, language = entries.when(F.col("_kind") == k, MANIFESTS[k][1]().cast(ENTRY)), language.when(F.col("_kind") == k, MANIFESTS[k][0])
+    rows = files.withColumn("_kind", _kind()).where(F.col("_kind").isin(list(kinds)))
+    if "pyproject.toml" in kinds:
+        # used only where the repository has no requirements.txt beside it; this looks at paths
+        folder = F.regexp_replace("path", r"[^/]*\z", "")
+        beside = files.where(basename(F.col("path")) == "requirements.txt").select(F.col("repo_id").alias("_r"), folder.alias("_d"))
+        hidden = (F.col("_kind") == "pyproject.toml") & (F.col("repo_id") == F.col("_r")) & (folder == F.col("_d"))
+        rows = rows.join(beside, hidden, "left_anti")
+    framework = F.when(F.col("_kind") == "csproj", _target_framework())
+    return rows.select("repo_id", "path", language.alias("language"), framework.alias("target_framework"), F.inline(entries))
+
+
+def package_json(files: DataFrame) -> DataFrame:
+    return _entries_of(files, "package.json").select(*OUT)
+
+
+def composer_json(files: DataFrame) -> DataFrame:
+    return _entries_of(files, "composer.json").select(*OUT)
+
+
+def requirements_txt(files: DataFrame) -> DataFrame:
+    return _entries_of(files, "requirements.txt").select(*OUT)
+
+
+def pyproject_toml(files: DataFrame) -> DataFrame:
+    """Section of dependencies; used only where the repository has no requirements.txt beside it."""
+    return _entries_of(files, "pyproject.toml").select(*OUT)
 
 
 def csproj(files: DataFrame) -> DataFrame:
     """PackageReference entries with the target framework of the project."""
-    ref = F.lit('(?i)<PackageReference\\s+Include="([^"]+)"\\s+Version="([^"]+)"')
-    tfm = F.regexp_extract("content", r"(?i)<TargetFrameworks?>([^<]+)</TargetFrameworks?>", 1)
-    rows = files.where(F.col("path").endswith(".csproj")).select(
-        "repo_id", "path", F.nullif(F.trim(tfm), F.lit("")).alias("target_framework"),
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all("content", ref, F.lit(1)).alias("n"),
-                F.regexp_extract_all("content", ref, F.lit(2)).alias("v"),
-            )
-        ).alias("pos", "r"),
-    )
-    g = rows.groupBy("repo_id", "path", "target_framework", F.lower("r.n").alias("name")).agg(
-        F.max_by("r.v", "pos").alias("version")
-    )
-    return g.withColumns({"language": F.lit("csharp"), "dev": F.lit(False)})
+    return _entries_of(files, "csproj").select(*OUT, "target_framework")
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """dependencies(repo_id, path, language, name, version, dev) of all known manifests."""
-    out = None
-    for part in (package_json(files), requirements_txt(files), pyproject_toml(files), composer_json(files), csproj(files)):
-        part = part.select(*OUT)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """dependencies(repo_id, path, language, name, version, dev) of all known manifests, out of one read of the files."""
+    return _entries_of(files, *MANIFESTS).select(*OUT)
 
 
 def frameworks(deps: DataFrame) -> DataFrame:
