@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siftlake.llm import common, textarrays as ta
 
@@ -220,7 +220,10 @@ def _counted_strings(groups: DataFrame, n: int, keep: str) -> DataFrame:
     hit = each.join(same, ["h", "d", "g"])
     if keep == "first":
         hit = hit.where(F.col("c") != F.col("first.c"))
-    return hit.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("d").alias("lo"), F.col("d").alias("hi"))).alias("own"))
+    # d less its number is the same along a run; a content has no more than n starts
+    run = (F.col("d") - F.row_number().over(W.partitionBy("h", "c").orderBy("d"))).alias("run")
+    runs = hit.select("h", "c", "d", run).groupBy("h", "c", "run").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    return runs.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
 
 
 def spans(docs: DataFrame, n: int = N, keep: str = "none") -> DataFrame:
@@ -250,9 +253,9 @@ def spans(docs: DataFrame, n: int = N, keep: str = "none") -> DataFrame:
         ranges = F.when(~mine, whole).otherwise(F.col("own"))
     else:
         ranges = F.when(F.col("times") > 1, whole).otherwise(F.col("own"))
-    hits = hits.select("doc_id", "doc_key", "p", F.explode(ranges).alias("r"))
-    span = F.struct((F.col("p") - F.col("r.hi")).alias("b"), (F.col("p") - F.col("r.lo") + n).alias("e"))
-    return hits.groupBy("doc_id", "doc_key").agg(F.collect_set(span).alias("spans"))
+    hits = hits.select("doc_id", "doc_key", "p", ranges.alias("r")).where(F.size("r") > 0)
+    cut = F.transform("r", lambda x: F.struct((F.col("p") - x["hi"]).alias("b"), (F.col("p") - x["lo"] + n).alias("e")))
+    return hits.groupBy("doc_id", "doc_key").agg(F.flatten(F.collect_list(cut)).alias("spans"))
 
 
 def merged(pairs: list[dict] | None) -> list[tuple[int, int]]:

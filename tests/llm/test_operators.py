@@ -285,6 +285,28 @@ def test_op7_keep_first_and_counted_anchors(frame, monkeypatch, most):
     assert cut.columns == docs.columns and cut.schema == docs.schema
 
 
+def test_op7_spans_do_not_grow_with_near_copies(spark, frame, monkeypatch):
+    """Anchors with very many different windows give runs, not single starts: the more copies, the same spans a document."""
+    monkeypatch.setattr(suffixes, "SORTED", 16)
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choice(words, 150).tolist()
+    most = []
+    for copies in (40, 160):
+        rows = []
+        for i in range(copies):
+            text = list(base)
+            text[int(rng.integers(0, 150))] = f"own{i}"
+            rows.append((i, " ".join(text)))
+        docs = frame(rows).select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+        got = suffixes.spans(docs, 80)
+        assert "explode" not in got._jdf.queryExecution().executedPlan().toString()
+        most.append(got.agg(F.max(F.size("spans"))).first()[0])
+        runs = brute.repeated_bytes([t.encode() for _, t in rows], 80, "none")
+        assert {r.doc_id: suffixes.merged([s.asDict() for s in r.spans]) for r in got.collect()} == {d: [tuple(x) for x in r] for (d, _), r in zip(rows, runs, strict=True) if r}
+    assert most[1] <= most[0] + 4
+
+
 def test_op7_long_texts_in_parts(frame, monkeypatch):
     import pyarrow as pa
 
