@@ -8,9 +8,11 @@ texts are documents of the end id alone; repeated rows are packed once each; an
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
+import threading
 import zlib
 
 import numpy as np
@@ -50,18 +52,19 @@ class Encoder:
     hash in a table of bounded size; new ones are encoded together."""
 
     #: Bytes of the table.
-    most = 48 << 20
+    most = 24 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plan = json.loads(self.tokenizer.to_str())
-        self.apart = _splits_words(_steps(plan["pre_tokenizer"], "pretokenizers"))
+        step = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        self.apart = _splits_words(_steps(step(self.tokenizer.pre_tokenizer), "pretokenizers"))
         self.marks = _MARK.copy()
-        self.marks[sorted({c for t in plan["added_tokens"] for c in t["content"].encode()})] = False  # special tokens stay whole
-        lowers = any(n["type"] == "Lowercase" for n in _steps(plan["normalizer"], "normalizers"))
+        special = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content.encode()}
+        self.marks[sorted(special)] = False  # special tokens stay whole
+        lowers = any(n["type"] == "Lowercase" for n in _steps(step(self.tokenizer.normalizer), "normalizers"))
         self.same = ta._LOWER if lowers else np.arange(256, dtype=np.uint8)
         self.forget()
 
@@ -119,37 +122,74 @@ class Encoder:
                 yield ids[a:b]
 
 
-_encoders: dict[str, Encoder] = {}
+class _Held:
+    """The encoder of this worker process: its table serves one task after the other and goes when none has used it for a while."""
 
+    idle_seconds = 5.0
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, so that its table serves all tasks there."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    def __init__(self):
+        self.lock, self.path, self.encoder, self.timer = threading.Lock(), None, None, None
+
+    def take(self, path: str) -> Encoder:
+        with self.lock:
+            if self.timer is not None:
+                self.timer.cancel()
+            if self.path != path:
+                self.path, self.encoder = path, Encoder(path)
+            return self.encoder
+
+    def give_back(self) -> None:
+        with self.lock:
+            if self.timer is not None:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.idle_seconds, self._drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def _drop(self) -> None:
+        with self.lock:
+            if self.timer is threading.current_thread():
+                self.path = self.encoder = self.timer = None
+                gc.collect()
+
+
+_held = _Held()
+
+
+def _take(path: str) -> Encoder:
+    return _held.take(path)
+
+
+def _give_back() -> None:
+    _held.give_back()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            rows, ids_out = {"doc": [], "piece": [], "start": [], "length": [], "crc": []}, []
-            for row, ids in enumerate(enc.encode(b.column(1))):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for k, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s : s + capacity]
-                    for name, v in zip(rows, (row, k, s, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        rows[name].append(v)
-                    if with_ids:
-                        ids_out.append(part)
-            doc = b.column(0).take(pa.array(rows["doc"], pa.int64()))
-            cols = [doc, pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()), pa.array(rows["crc"], pa.int64())]
-            if with_ids:
-                cols.append(ta.arrays(ids_out, pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+        enc = _take(path)
+        try:
+            for b in batches:
+                yield cut(enc, b)
+        finally:
+            _give_back()
+
+    def cut(enc, b):
+        rows, ids_out = {"doc": [], "piece": [], "start": [], "length": [], "crc": []}, []
+        for row, ids in enumerate(enc.encode(b.column(1))):
+            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            for k, s in enumerate(range(0, len(ids), capacity)):
+                part = ids[s : s + capacity]
+                for name, v in zip(rows, (row, k, s, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    rows[name].append(v)
+                if with_ids:
+                    ids_out.append(part)
+        doc = b.column(0).take(pa.array(rows["doc"], pa.int64()))
+        cols = [doc, pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()), pa.array(rows["crc"], pa.int64())]
+        if with_ids:
+            cols.append(ta.arrays(ids_out, pa.int64()))
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
 

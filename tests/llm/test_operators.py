@@ -420,6 +420,22 @@ def test_op9_chunks_give_the_ids_of_whole_texts(monkeypatch):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_op9_encoder_serves_several_tasks_and_goes_when_idle():
+    import time
+
+    held = packing._Held()
+    held.idle_seconds = 0.3
+    path = catalog.tokenizer_path()
+    one = held.take(path)
+    held.give_back()
+    assert held.take(path) is one  # the timer of the task before is off
+    time.sleep(0.6)
+    assert held.encoder is one
+    held.give_back()
+    time.sleep(0.6)
+    assert held.encoder is None and held.take(path) is not one
+
+
 def test_op9_special_strings(frame):
     path = catalog.tokenizer_path()
     from tokenizers import Tokenizer
