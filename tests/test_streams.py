@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,67 @@ def test_pending_acceptances_expire(spark, tmp_path):
     got = jobs.run(jobs.expiries(stream), str(tmp_path / "out"), str(tmp_path / "ckpt2"))
     assert {(r.id, r.day) for r in got.select("id", F.date_format(F.timestamp_millis("expired_ms"), "yyyy-MM-dd").alias("day")).collect()} == {("late", "2024-01-15"), ("never", "2024-01-17"), ("again", "2024-02-15"), ("soon", "2024-06-24")}
     assert spark.read.schema("id string, expired_ms long").parquet(str(tmp_path / "early")).count() == 0
+
+
+class _Store:
+    """A store in memory that counts the calls for it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.map = 0, [], {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        self.calls += 1
+        return _Part(self)
+
+    getMapState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+
+
+class _Part:
+    def __init__(self, store):
+        self.store, self.rows, self.map = store, [], {}
+
+    def __getattribute__(self, name):
+        if name not in ("store", "rows", "map"):
+            self.store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows[:] = rows
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def clear(self):
+        self.rows.clear()
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+
+def test_the_store_is_called_for_blocks_not_for_findings():
+    store, merge, n = _Store(), mg._Merge(RULES, {}), 10_000
+    merge.init(store)
+    row = dict.fromkeys(mg.EVENT) | {"at": "1999-01-01T00:00:00Z", "scan_id": "s1", "rule_id": "R1", "path": "a", "line": 1, "code_hash": "h", "severity": "HIGH", "snippet": "x", "suppressed": False, "ord": 1}
+    out = []
+    for at in (1, 2):
+        frame = pd.DataFrame([row | {"at_ms": at, "scan_id": f"s{at}", "finding_id": f"f{i}"} for i in range(n)])
+        list(merge.handleInputRows(("r", 0), iter([frame]), None))
+        info = type("Info", (), {"getExpiryTimeInMs": lambda self, at=at: at})()
+        out.append(pd.concat(merge.handleExpiredTimer(("r", 0), None, info)))
+    assert [set(o["transition"]) for o in out] == [{"inserted"}, {"refreshed"}] and [len(o) for o in out] == [n, n]
+    assert set(out[1]["times_seen"]) == {2} and store.calls < 50
