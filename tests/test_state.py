@@ -192,3 +192,14 @@ def test_findings_without_a_line_keep_their_exception(spark):
     key = [k for k in ex.FINDING_KEY]
     assert set(key) <= set(found.columns)
     assert ex.apply_exceptions(found, exc, "2024-05-01T00:00:00Z").first().excepted
+
+
+def test_paths_of_rules_without_globs_get_no_keys(spark, monkeypatch):
+    seen = []
+    met = scope.met
+    monkeypatch.setattr(scope, "met", lambda paths, *rest: seen.append(paths) or met(paths, *rest))
+    found = spark.createDataFrame([("R1", "src/a.js"), ("R2", "src/a.js"), ("R3", "docs/a.js"), ("R3", "src/a.js")], "rule_id string, path string")
+    entries = spark.createDataFrame([("R1", None), ("R3", ["docs/"])], "rule_id string, globs array<string>")
+    got = {tuple(r) for r in scope.flag_rule_excludes(found, entries).collect()}
+    assert got == {("R1", "src/a.js", True), ("R2", "src/a.js", False), ("R3", "docs/a.js", True), ("R3", "src/a.js", False)}
+    assert {r.rule_id for r in seen[0].collect()} == {"R3"}
