@@ -54,6 +54,15 @@ def test_a_million_sessions_of_one_day_are_dealt_out_evenly(spark):
     assert dealt[-1][1] < 2 * dealt[len(dealt) // 2][1]
 
 
+def test_first_finding_of_a_line_is_found_on_one_number(spark, sf):
+    got = fx.first_findings(spark, sf)
+    plan = st.hashed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    key = ["repo_id", "path", "line", "rule_id"]
+    want = fx.line_findings(spark, sf).groupBy(*key).agg(F.min_by("raw", "off").alias("raw"), F.min("off").alias("off"), F.min_by("base_severity", "off").alias("base_severity"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.columns == want.columns
+
+
 def test_a_million_findings_of_one_file_name(spark):
     """Acceptances of index.js are filed by hash: each meets its own finding, not all files of the name."""
     n, k = 1_000_000, 2_000
