@@ -185,6 +185,17 @@ def test_dedup_equals_a_loop(spark):
     assert got == want
 
 
+def test_modifiers_read_no_path_inside_a_lambda(spark, sf):
+    """Interpreted lambdas see only the names that are met; routes take one pass."""
+    from siftlake.catalog import scan as catalog
+    plan = catalog.QUERIES["ctx_modifiers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan and "Contains(" not in plan and "isnotnull(lambda" not in plan
+    assert catalog.QUERIES["ctx_route"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    rows = spark.createDataFrame([("Tests/vendor/x/tests/a.js", "test", "jest"), (None, "docs", None), ("tests", None, "other")], "p string, t string, f string")
+    got = [[tuple(m) for m in r[0]] for r in rows.select(severity.context_modifiers(F.col("p"), F.col("t"), F.col("f"))).collect()]
+    assert got == [[("fileType: test", -1), ("path: /tests/", -1), ("path: /vendor/", -2), ("framework: jest", -1)], [("fileType: docs", -1)], []]
+
+
 def test_modifier_forms_agree(spark):
     paths = ["tests/a.js", "vendor/test/a.js", "src/fixtures/node_modules/x.py", "/spec", "spec/x", "A\\Mocks\\b.cs"]
     df = spark.createDataFrame([(p, t, f) for p in paths for t in ("test", "source", "vendor") for f in ("jest", None)], "path string, file_type string, framework string")
