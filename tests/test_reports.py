@@ -130,3 +130,17 @@ def test_reports_of_findings_without_texts(spark):
     bare = spark.createDataFrame([("r", "a", 1, "R", "HIGH", "c", "s", False, 1)], "repo_id string, path string, line long, rule_id string, severity string, category string, snippet string, excepted boolean, off long")
     assert reports.report_markdown(bare).where("text = '- [ ] `HIGH` **R** - '").count() == 1
     assert reports.report_json(bare).where(F.col("section") == "finding").count() == 1
+
+
+def test_reports_are_written_compressed(spark, tmp_path):
+    """Long lines that are alike take a fraction of their length on disk, and are read again whole."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit("r").alias("repo_id"), F.lit("finding").alias("section"), F.lpad(F.col("id").cast("string"), 9, "0").alias("ord"),
+                                 F.concat(F.lit("x" * 200), F.col("id").cast("string")).alias("json"))
+    reports.write_json(rows, f"{tmp_path}/j", "gzip")
+    reports.write_markdown(rows.select("repo_id", F.lit(1).alias("s1"), F.lit("").alias("s2"), F.col("ord").alias("s3"), F.col("json").alias("text")), f"{tmp_path}/m", "gzip")
+    for name in "jm":
+        size = sum(p.stat().st_size for p in (tmp_path / name).rglob("part-*"))
+        assert size < 200 * n / 10
+        back = spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/{name}")
+        assert back.exceptAll(rows.select(F.col("json").alias("value"))).count() == 0 and back.count() == n
