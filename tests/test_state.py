@@ -232,3 +232,10 @@ def test_tails_of_paths_are_compiled_and_verdicts_joined_by_a_number(spark, sf):
     joined = _plan(ex.apply_exceptions(st.hashed(spark, sf), fx.exceptions(spark, sf), st.AS_OF))
     last = next(line for line in joined.splitlines() if "Join" in line)
     assert "LeftOuter" in last and "xxhash64" in last.split("]")[0]
+
+
+def test_patterns_of_a_known_size_are_sent_to_the_paths(spark, sf):
+    from siftlake.catalog import scan as sc_cat
+
+    plan = _plan(scope.pattern_hits(fx.document_files(spark, sf), sc_cat.scope_entries(spark)))
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
