@@ -239,3 +239,8 @@ def test_patterns_of_a_known_size_are_sent_to_the_paths(spark, sf):
 
     plan = _plan(scope.pattern_hits(fx.document_files(spark, sf), sc_cat.scope_entries(spark)))
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_the_outer_join_of_a_reconciliation_is_made_once(spark, sf):
+    plan = _plan(rc.counters(st.merged(spark, sf)))
+    assert "FullOuter" not in plan
