@@ -244,3 +244,7 @@ def test_patterns_of_a_known_size_are_sent_to_the_paths(spark, sf):
 def test_the_outer_join_of_a_reconciliation_is_made_once(spark, sf):
     plan = _plan(rc.counters(st.merged(spark, sf)))
     assert "FullOuter" not in plan
+
+
+def test_code_files_are_dealt_out_by_key(spark, sf):
+    assert "Exchange hashpartitioning(o_orderkey" in _plan(fx.code_files(spark, sf))
