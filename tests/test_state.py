@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from siftlake.catalog import fixtures as fx, state as st
+from siftlake.catalog import events as log, fixtures as fx, state as st
 from siftlake.functions.ranking import numbered
 from siftlake.operators import audit, exceptions as ex, export, queue, reconcile as rc, scope
 from siftlake.sources import files as src, store
@@ -105,6 +105,21 @@ def test_batches_of_a_hot_session_are_split_and_whole(spark):
     assert len({f.line for r in out for f in r.findings}) == 5000
 
 
+def test_summary_counts_accepted_findings_beside_all(spark):
+    schema = "session_id string, severity string, action string"
+    rows = [("a", "CRITICAL", "block"), ("a", "HIGH", "block"), ("a", "LOW", "warn"), ("b", "CRITICAL", "block"), ("c", "MEDIUM", "warn")]
+    scans = spark.createDataFrame([(s, "manual", "full", 1) for s in "abcd"], "session_id string, hook string, scan_mode string, files_count long")
+    out = audit.scan_summary(spark.createDataFrame(rows, schema), spark.createDataFrame([rows[0], rows[2], rows[3]], schema), scans)
+    got = {r.session_id: (r.findings_total, r.findings_critical, r.exceptions_applied, r.blocked) for r in out.collect()}
+    assert got == {"a": (3, 1, 2, True), "b": (1, 1, 1, False), "c": (1, 0, 0, False), "d": (0, 0, 0, False)}
+
+
+@pytest.mark.parametrize("name", ["audit_top_rules", "audit_categories"])
+def test_counts_without_verdicts_read_no_exceptions(spark, sf, name):
+    read = log.QUERIES[name](spark, sf).inputFiles()
+    assert any("lineitem" in f for f in read) and not any("orders" in f for f in read)
+
+
 def test_queue_parts_are_whole(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("ts"),
                                   F.lit(0).cast("bigint").alias("attempts"), F.lit("r1").alias("repo_id"), F.lit("x").alias("payload"), F.lit(None).cast("string").alias("last_error"))
