@@ -28,6 +28,8 @@ PCT = 80
 BANDS = 3
 TILE = 512
 FANOUT = 8
+#: Pairs of one block that are kept for each two groups in the first traversal.
+MOST = 32
 #: Shingles in at least HOT_FROM documents, HOT_MOST of them at most, come last in the order (it stays one order for all).
 HOT_FROM, HOT_MOST = 64, 100_000
 _ODD = np.uint64(0xA24BAED4963EE407)
@@ -334,8 +336,8 @@ def _band_links(docs: DataFrame, summaries: DataFrame, pct: int) -> DataFrame:
     return rows.mapInArrow(link, "a long, b long")
 
 
-def _postings(docs: DataFrame, hot: np.ndarray, pct: int, bits: np.ndarray | None) -> DataFrame:
-    """(token, cls) for the first shingles, in the order, of every text; with bits only for tokens that pass."""
+def _postings(docs: DataFrame, hot: np.ndarray, pct: int) -> DataFrame:
+    """(token, cls) for the first shingles, in the order, of every text."""
 
     def rows_of(s, cls):
         p = len(s) - needed(len(s), pct) + 1
@@ -343,17 +345,33 @@ def _postings(docs: DataFrame, hot: np.ndarray, pct: int, bits: np.ndarray | Non
         first = s[~late][:p]
         if len(first) < p:
             first = np.concatenate([first, s[late][: p - len(first)]])
-        first = first.view(np.int64)
-        if bits is not None:
-            first = first[common.passes(bits, first)]
-        return (first, np.full(len(first), cls)) if len(first) else None
+        return first.view(np.int64), np.full(len(first), cls)
 
     return _once(docs, rows_of, "token long, cls long")
 
 
-def _pairs(blocks: DataFrame, pct: int, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different roots in one block that the trees leave; with `likeliest`, one pair for
-    each two roots. blocks: token, n, cls, root, bits, members
+def _passing(posted: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The postings whose token passes the filter."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(common.passes(bits, b.column(0).to_numpy())))
+
+    return posted.mapInArrow(run, posted.schema)
+
+
+def most_likely(x: np.ndarray, y: np.ndarray, bound: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `most` pairs of greatest bound for each two roots (x, y), and whether those roots have more."""
+    order = np.lexsort((-bound, y, x))
+    start = np.flatnonzero(np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]))
+    count = np.diff(np.append(start, len(order)))
+    keep = np.arange(len(order)) - np.repeat(start, count) < most
+    return order[keep], np.repeat(count > most, count)[keep]
+
+
+def _pairs(blocks: DataFrame, pct: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of classes of different roots (x, y) in one block that the trees leave; with `most`, no more than that
+    for each two roots of a block, and `more` tells whether they have others. blocks: token, n, cls, root, bits, members
     (rows of the block). Blocks of up to TILE members are read in one stream; larger ones are cut into tiles of
     the order by size, and each pair of tiles whose sizes fit is a block of its own."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -391,22 +409,16 @@ def _pairs(blocks: DataFrame, pct: int, likeliest: bool) -> DataFrame:
         left = sum(r[1] == 0 for r in held)
         for i, j, bound in candidates([np.frombuffer(r[5], np.uint64) for r in held], sizes, pct, left if left < len(held) else None):
             ok = np.flatnonzero(root[i] != root[j])
-            if likeliest and len(ok):
-                x, y = root[i[ok]], root[j[ok]]
-                order = np.lexsort((-bound[ok], np.maximum(x, y), np.minimum(x, y)))
-                x, y = np.minimum(x, y)[order], np.maximum(x, y)[order]
-                ok = ok[order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]]
-            if len(ok):
-                a, b = cls[i[ok]], cls[j[ok]]
-                x, y = root[i[ok]], root[j[ok]]
-                cols = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), bound[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "x", "y", "bound"])
-
-    found_pairs = rows.mapInArrow(run, "a long, b long, x long, y long, bound double")
-    if likeliest:
-        best = found_pairs.groupBy("x", "y").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
-        return best.select("p.a", "p.b")
-    return found_pairs.select("a", "b").distinct()
+            if not len(ok):
+                continue
+            a, b, x, y = cls[i[ok]], cls[j[ok]], root[i[ok]], root[j[ok]]
+            cols = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), bound[ok]]
+            at, more = most_likely(*cols[2:], most or len(ok))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[at]) for c in cols], pa.array(more)], names=["a", "b", "x", "y", "bound", "more"])
+
+    found_pairs = rows.mapInArrow(run, "a long, b long, x long, y long, bound double, more boolean")
+    once = [F.min("x").alias("x"), F.min("y").alias("y"), F.max("bound").alias("bound"), F.max("more").alias("more")]
+    return found_pairs.groupBy("a", "b").agg(*once)
 
 
 def _mixed(posted: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
@@ -448,10 +460,50 @@ def _filtered(docs: DataFrame, pairs: DataFrame, form, test, name: str) -> DataF
     return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
-    """The pairs that are linked. Wide bitmaps, a quarter of the sets' size, go first; few other pairs pass them."""
-    near = common.written(_filtered(docs, pairs, wide_bitmap, lambda x, y, n, m: may_link(x, y, n, m, pct), "pair-bitmaps"), "near-pairs")
-    return _filtered(docs, near, lambda s: s, lambda x, y, n, m: linked(x, y, pct), "pair-sets")
+def _near(docs: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
+    """The pairs that pass wide bitmaps, a quarter of the sets' size; few of them are not linked."""
+    return common.written(_filtered(docs, pairs, wide_bitmap, lambda x, y, n, m: may_link(x, y, n, m, pct), "pair-bitmaps"), "near-pairs")
+
+
+def _verified(docs: DataFrame, near: DataFrame, pct: int) -> DataFrame:
+    """The pairs that are linked."""
+    return common.written(_filtered(docs, near, lambda s: s, lambda x, y, n, m: linked(x, y, pct), "pair-sets"), "more-links")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, one: str, two: str) -> DataFrame:
+    """The pairs of ids that have different roots by now."""
+    known = lambda c, r: roots.select(F.col("id").alias(c), F.col("root").alias(r))
+    rooted = pairs.join(known(one, "_r1"), one, "left").join(known(two, "_r2"), two, "left")
+    return rooted.where(F.coalesce("_r1", one) != F.coalesce("_r2", two)).drop("_r1", "_r2")
+
+
+def _all_links(docs: DataFrame, posted: DataFrame, links: DataFrame, bits: DataFrame, pct: int, most: int) -> DataFrame:
+    """Roots of the classes by all links. The blocks are traversed once, which leaves some pairs for each two groups. Of
+    those that pass wide bitmaps the likeliest of each two groups is verified first, as most groups meet through it, then
+    all whose groups still are apart. Groups that are, and had more pairs, are traversed again in full."""
+    before = common.connected(links, "band-groups")
+    pairs = common.written(_pairs(common.written(_mixed(posted, before, bits), "blocks"), pct, most), "pairs")
+    if pairs.isEmpty():
+        return before
+    near = common.written(_near(docs, pairs, pct).join(pairs, ["a", "b"]), "near-rooted")
+    first = common.written(near.groupBy("x", "y").agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b"), "likeliest")
+    links = links.unionByName(_verified(docs, first, pct))
+    roots = common.connected(links, "groups")
+    rest = common.written(_apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots, "a", "b"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(docs, rest, pct))
+        roots = common.connected(links, "groups")
+    cut = common.written(_apart(pairs.where("more").select("x", "y").distinct(), roots, "x", "y"), "cut")
+    if not cut.isEmpty():
+        groups_left = cut.select(F.explode(F.array("x", "y")).alias("_root")).distinct()
+        old = before.select(F.col("id").alias("cls"), "root")
+        left = posted.join(old, "cls", "left").withColumn("_root", F.coalesce("root", "cls")).join(groups_left, "_root", "left_semi").select("token", "cls")
+        more = _pairs(common.written(_mixed(common.written(left, "postings-left"), roots, bits), "blocks"), pct, None)
+        more = common.written(more.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = links.unionByName(_verified(docs, _near(docs, more, pct), pct))
+            roots = common.connected(links, "groups")
+    return roots
 
 
 def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
@@ -460,23 +512,14 @@ def groups(docs: DataFrame, pct: int = PCT) -> DataFrame:
     texts = docs.select("text")
     summaries = common.written(_summaries(docs), "set-summaries")
     links = common.written(_band_links(docs, summaries, pct), "band-links")
-    roots = common.connected(links, "band-groups")
-
     hot = _hot(texts, HOT_FROM, HOT_MOST)
-    shared = _postings(docs, hot, pct, None).groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
+    every = common.written(_postings(docs, hot, pct), "first-shingles")
+    shared = every.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     shared = common.written(shared, "shared-tokens")
-    posted = _postings(docs, hot, pct, common.key_filter(shared)).distinct().join(shared, "token", "left_semi")
+    posted = _passing(every, common.key_filter(shared)).distinct().join(shared, "token", "left_semi")
     posted = common.written(posted, "postings")
     bits = common.written(summaries.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"]), "bitmaps")
-    tried = None
-    for likeliest in (True, False):  # most groups meet through one link each; what then still is apart is looked at in full
-        pairs = _pairs(common.written(_mixed(posted, roots, bits), "blocks"), pct, likeliest)
-        pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs
-        links = links.unionByName(common.written(_verified(docs, pairs, pct), "more-links"))
-        roots = common.connected(links, "groups")
+    roots = _all_links(docs, posted, links, bits, pct, MOST)
     least = summaries.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = common.written(least, "class-roots")

@@ -126,6 +126,32 @@ def test_op2_without_bands(frame, monkeypatch):
     same_rows(got, [(d, n, c) for (d, _), (n, c) in zip(rows, brute.components(rows), strict=True)])
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_op2_pairs_left_out_of_the_first_traversal_are_looked_at(frame, monkeypatch, most):
+    bands, calls, mixed = signature_tree._band_links, [], signature_tree._mixed
+    monkeypatch.setattr(signature_tree, "_band_links", lambda *a: bands(*a).where("pmod(a, 3) = 0"))  # groups that are not whole
+    monkeypatch.setattr(signature_tree, "_mixed", lambda *a: calls.append(1) or mixed(*a))
+    monkeypatch.setattr(signature_tree, "MOST", most)
+    rows = near_copies(150)
+    got = signature_tree.groups(frame(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    same_rows(got, [(d, n, c) for (d, _), (n, c) in zip(rows, brute.components(rows), strict=True)])
+    assert 1 <= len(calls) <= 2
+
+
+def test_op2_blocks_are_traversed_once(frame, monkeypatch):
+    calls, mixed = [], signature_tree._mixed
+    monkeypatch.setattr(signature_tree, "_mixed", lambda *a: calls.append(1) or mixed(*a))
+    monkeypatch.setattr(signature_tree, "_band_links", lambda docs, summaries, pct: docs.sparkSession.createDataFrame([], "a long, b long"))
+    signature_tree.groups(frame(near_copies(60))).count()
+    assert len(calls) == 1
+
+
+def test_op2_roots_with_more_pairs_are_marked():
+    x, y = np.array([1, 1, 2, 1, 2]), np.array([5, 5, 6, 5, 7])
+    at, more = signature_tree.most_likely(x, y, np.array([0.8, 0.9, 0.9, 0.85, 0.8]), 2)
+    assert at.tolist() == [1, 3, 2, 4] and more.tolist() == [True, True, False, False]
+
+
 def test_op2_tree_keeps_all_links():
     rng = np.random.default_rng(1)
     sets = []
