@@ -369,13 +369,13 @@ def most_likely(x: np.ndarray, y: np.ndarray, bound: np.ndarray, most: int) -> t
     return order[keep], np.repeat(count > most, count)[keep]
 
 
-def _pairs(blocks: DataFrame, pct: int, most: int | None) -> DataFrame:
+def _pairs(blocks: DataFrame, bits: DataFrame, pct: int, most: int | None) -> DataFrame:
     """Pairs (a, b) of classes of different roots (x, y) in one block that the trees leave; with `most`, no more than that
-    for each two roots of a block, and `more` tells whether they have others. blocks: token, n, cls, root, bits, members
+    for each two roots of a block, and `more` tells whether they have others. blocks: token, n, cls, root, members
     (rows of the block). Blocks of up to TILE members are read in one stream; larger ones are cut into tiles of
     the order by size, and each pair of tiles whose sizes fit is a block of its own."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = blocks.where(F.col("members") <= TILE).select("token", F.lit(0).alias("side"), "n", "cls", "root", "bits")
+    small = blocks.where(F.col("members") <= TILE).select("token", F.lit(0).alias("side"), "n", "cls", "root")
     large = common.written(blocks.where(F.col("members") > TILE), "large-blocks")
     streams = [small]
     if not large.isEmpty():
@@ -385,8 +385,10 @@ def _pairs(blocks: DataFrame, pct: int, most: int | None) -> DataFrame:
         two = nodes.select("token", *[F.col(c).alias(f"{c}_") for c in ("tile", "lo", "hi", "r0", "r1")])
         fit = nodes.join(two, "token").where((F.col("tile") <= F.col("tile_")) & (F.col("hi") * 100 >= F.col("lo_") * pct) & ~((F.col("r0") == F.col("r1")) & (F.col("r0_") == F.col("r1_")) & (F.col("r0") == F.col("r0_"))))
         fit = fit.select("token", F.xxhash64("token", "tile", "tile_").alias("pair"), F.explode(F.array_distinct(F.array(F.struct("tile", F.lit(0).alias("side")), F.struct(F.col("tile_").alias("tile"), (F.col("tile") != F.col("tile_")).cast("int").alias("side"))))).alias("x"))
-        streams.append(fit.select("token", "pair", "x.tile", "x.side").join(at, ["token", "tile"]).select(F.col("pair").alias("token"), "side", "n", "cls", "root", "bits"))
+        streams.append(fit.select("token", "pair", "x.tile", "x.side").join(at, ["token", "tile"]).select(F.col("pair").alias("token"), "side", "n", "cls", "root"))
     rows = streams[0] if len(streams) == 1 else streams[0].unionByName(streams[1])
+    # bitmaps are many times as wide as the rest, so they join last and no written table of blocks holds them
+    rows = rows.join(bits.select("cls", "bits"), "cls").select("token", "side", "n", "cls", "root", "bits")
     rows = rows.repartition(parts, "token").sortWithinPartitions("token", "side", "n", "cls")
 
     def run(batches):
@@ -422,12 +424,12 @@ def _pairs(blocks: DataFrame, pct: int, most: int | None) -> DataFrame:
 
 
 def _mixed(posted: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """The blocks whose members have different roots, each membership once, with sizes and bitmaps."""
+    """The blocks whose members have different roots, each membership once, with sizes."""
     rooted = roots.select(F.col("id").alias("cls"), "root")
     posted = posted.join(rooted, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     blocks = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("same")).where("r0 <> r1")
     blocks = blocks.groupBy("members", "same").agg(F.min("token").alias("token")).select("token", "members")
-    return posted.join(blocks, "token").join(bits, "cls")
+    return posted.join(blocks, "token").join(bits.select("cls", "n"), "cls")
 
 
 def wide_bitmap(x: np.ndarray) -> np.ndarray:
@@ -482,7 +484,7 @@ def _all_links(docs: DataFrame, posted: DataFrame, links: DataFrame, bits: DataF
     those that pass wide bitmaps the likeliest of each two groups is verified first, as most groups meet through it, then
     all whose groups still are apart. Groups that are, and had more pairs, are traversed again in full."""
     before = common.connected(links, "band-groups")
-    pairs = common.written(_pairs(common.written(_mixed(posted, before, bits), "blocks"), pct, most), "pairs")
+    pairs = common.written(_pairs(common.written(_mixed(posted, before, bits), "blocks"), bits, pct, most), "pairs")
     if pairs.isEmpty():
         return before
     near = common.written(_near(docs, pairs, pct).join(pairs, ["a", "b"]), "near-rooted")
@@ -498,7 +500,7 @@ def _all_links(docs: DataFrame, posted: DataFrame, links: DataFrame, bits: DataF
         groups_left = cut.select(F.explode(F.array("x", "y")).alias("_root")).distinct()
         old = before.select(F.col("id").alias("cls"), "root")
         left = posted.join(old, "cls", "left").withColumn("_root", F.coalesce("root", "cls")).join(groups_left, "_root", "left_semi").select("token", "cls")
-        more = _pairs(common.written(_mixed(common.written(left, "postings-left"), roots, bits), "blocks"), pct, None)
+        more = _pairs(common.written(_mixed(common.written(left, "postings-left"), roots, bits), "blocks"), bits, pct, None)
         more = common.written(more.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = links.unionByName(_verified(docs, _near(docs, more, pct), pct))

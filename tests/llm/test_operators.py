@@ -146,6 +146,14 @@ def test_op2_blocks_are_traversed_once(frame, monkeypatch):
     assert len(calls) == 1
 
 
+def test_op2_written_blocks_hold_no_bitmaps(frame, monkeypatch):
+    tables, written = {}, signature_tree.common.written
+    monkeypatch.setattr(signature_tree.common, "written", lambda df, name, **kw: tables.setdefault(name, df.columns) and written(df, name, **kw))
+    monkeypatch.setattr(signature_tree, "TILE", 16)
+    signature_tree.groups(frame(near_copies(60))).count()
+    assert "blocks" in tables and not any("bits" in c for name, c in tables.items() if "block" in name or "large" in name)
+
+
 def test_op2_roots_with_more_pairs_are_marked():
     x, y = np.array([1, 1, 2, 1, 2]), np.array([5, 5, 6, 5, 7])
     at, more = signature_tree.most_likely(x, y, np.array([0.8, 0.9, 0.9, 0.85, 0.8]), 2)
