@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from siftlake.catalog import events as log, fixtures as fx, state as st
+from siftlake.catalog import events as log, fixtures as fx, state as st, streams
 from siftlake.functions.ranking import numbered
 from siftlake.operators import audit, exceptions as ex, export, queue, reconcile as rc, scope
 from siftlake.sources import files as src, store
@@ -190,6 +190,39 @@ def test_tree_with_broken_bytes(spark, tmp_path):
     assert rows == {"a/x.py": "ok �\n", "y.txt": "t"}
 
 
+def test_lengths_of_texts_that_no_task_holds(spark, tmp_path):
+    mark = b"\xef\xbb\xbf"
+    texts = {
+        "empty": b"", "end": b"\n", "ends": b"\n\n\n\n", "a": b"a", "b b%20.js": b"ab\n", "cr": b"a\r\nb\r", "mark": mark, "mark end": mark + b"\n", "mark ends": mark + b"\n\n",
+        "marked": mark + b"a\nb", "in a line": b"a" + mark + b"\n" + mark + b"\n", "broken": b"\xe2\x82\n\xff\xfe\xf0\x9f\x92\n\x80\xc3", "umlaut": "ä\nö€😀".encode() * 40, "long": b"x" * 3000 + b"\ny",
+        "n.gz": b"no archive \xff\n\n", "sub/o.ZST": mark + b"c\n", "sub/zero": b"\x00\n\x00",
+    }
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    wanted = {r.path: r.n for r in src.read_tree(spark, str(tmp_path), "r").select("path", F.length("content").alias("n")).collect()}
+    limits = {"spark.sql.files.maxPartitionBytes": "16", "spark.sql.files.openCostInBytes": "0", "spark.sql.sources.binaryFile.maxLength": "100"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r.path: r.n_chars for r in src.text_lengths(spark, str(tmp_path), "r").collect()}
+        some = src.text_lengths(spark, str(tmp_path), "r", "b*").collect()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert got == wanted and set(got) == set(texts) - {"empty"}  # Spark lists no empty file
+    assert {tuple(r) for r in some} == {("r", "b b%20.js", 3), ("r", "broken", wanted["broken"])}
+
+
+def test_files_larger_than_a_cell_are_read(spark, sf):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # as 2 GB is for a real one
+    try:
+        rows = streams.QUERIES["src_files"](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert len(rows) == 14 and all(r.has_text for r in rows)
+
+
 def test_unknown_language_and_mode(spark):
     df = spark.createDataFrame([("r", "a.js", "")], "repo_id string, path string, content string")
     with pytest.raises(ValueError):
