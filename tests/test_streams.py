@@ -1,11 +1,15 @@
 """Streams against their batch twins, in several deliveries."""
 
 import random
+import time
 
+import helpers
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftlake.catalog import streams as catalog
 from siftlake.operators import reconcile as rc
 from siftlake.streaming import jobs, merge as mg
 
@@ -186,3 +190,59 @@ def test_the_store_is_called_for_blocks_not_for_findings():
         out.append(pd.concat(merge.handleExpiredTimer(("r", 0), None, info)))
     assert [set(o["transition"]) for o in out] == [{"inserted"}, {"refreshed"}] and [len(o) for o in out] == [n, n]
     assert set(out[1]["times_seen"]) == {2} and store.calls < 50
+
+
+def _event(i, **other):
+    return dict.fromkeys(mg.EVENT) | {
+        "at_ms": 1, "at": "1999-01-01T00:00:00Z", "scan_id": "s1", "finding_id": f"{i * 37}-{i % 7}", "rule_id": f"R{i % 12}", "path": f"o{i * 37}", "line": i * 31 % 5000, "code_hash": f"h{i % 100}",
+        "severity": "HIGH", "base_severity": "HIGH", "snippet": f"new {i * 37}-{i % 7}", "confidence": "HIGH", "suppressed": i % 10 == 0, "ord": i * 7919 % 10**9,
+    } | other
+
+
+def test_blocks_are_small_and_older_ones_are_read():
+    events = [_event(i) for i in range(4000)]
+    table = pa.Table.from_pylist(events, schema=mg._EVENT_ARROW)
+    (block,) = mg._blocks(table)
+    assert mg._rows(block) == events and len(block) < 30 * len(events)  # 50 bytes a row as Arrow with lz4
+    older = pa.BufferOutputStream()
+    with pa.ipc.new_stream(older, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    assert mg._rows(older.getvalue().to_pybytes()) == events
+    assert [mg._rows(b) for b in mg._blocks(table.slice(0, 0))] == []
+
+
+def test_events_are_packed_by_key_and_time():
+    rng = random.Random(3)
+    rows = [_event(i, at_ms=rng.choice([1, 2])) | {"repo_id": rng.choice(["a", "b", None]), "part": rng.randint(0, 1)} for i in range(3 * mg.BLOCK)]
+    rows.append(_event(0, finding_id=None, covered="all", at_ms=3) | {"repo_id": "a", "part": 0})
+    schema = pa.schema([("repo_id", pa.string()), ("part", pa.int32()), ("ts", pa.timestamp("us", "UTC")), *mg._EVENT_ARROW])
+    table = pa.Table.from_pylist([r | {"ts": r["at_ms"] * 1000} for r in rows], schema=schema)
+    heads = [h for batch in mg._packed(iter(table.to_batches(max_chunksize=1000))) for h in batch.to_pylist()]
+    assert len(heads) == 13 and all(h["ts"].microsecond == h["at_ms"] * 1000 for h in heads)
+    got = [e | {"repo_id": h["repo_id"], "part": h["part"]} for h in heads for e in mg._rows(h["block"])]
+    assert sorted(map(str, got)) == sorted(map(str, rows)) and all(e["at_ms"] == h["at_ms"] for h in heads for e in mg._rows(h["block"]))
+    small = [b for i in range(100) for b in mg._blocks(pa.Table.from_pylist([_event(i)], schema=mg._EVENT_ARROW))]
+    (one,) = mg._gathered(small)
+    assert mg._rows(one) == [_event(i) for i in range(100)] and list(mg._packed(iter([]))) == []
+
+
+def test_feed_of_several_batches_is_used_up(spark, sf, tmp_path, monkeypatch):
+    written, step = [], catalog.jobs.run
+
+    def run(stream, *args):
+        written[:] = tmp_path.glob("recon-feed/in/part-*.parquet")
+        return step(stream, *args)
+
+    bases = iter([str(tmp_path / "recon-feed"), str(tmp_path / "recon-run")])
+    monkeypatch.setattr(catalog, "scratch", lambda s, name: next(bases))
+    monkeypatch.setattr(catalog.jobs, "run", run)
+    monkeypatch.setattr(catalog, "FEED_BYTES", 100_000)
+    df = catalog.QUERIES["st_reconcile"](spark, sf)
+    got = helpers.canonical([tuple(r) for r in df.collect()], df.columns)
+    rel = helpers.connect(sf).execute(catalog.ORACLE["st_reconcile"])
+    assert got == helpers.canonical(rel.fetchall(), [c[0] for c in rel.description]) and got[0]
+    assert len(list((tmp_path / "recon-run" / "ckpt" / "commits").glob("[0-9]*"))) > 3
+    wait = time.monotonic() + 20
+    while any(f.exists() for f in written) and time.monotonic() < wait:
+        time.sleep(0.5)
+    assert written and not any(f.exists() for f in written)
